@@ -177,7 +177,10 @@ def runs(index: ItemIndex, ids: np.ndarray, least: int, one_in: int) -> dict[int
         item = index.words[n]
         lo, hi = max(0, -d), min(len(item), len(ids) - d)
         if hi - lo >= least:
-            got = longest_run(item[lo:hi] == ids[lo + d : hi + d], ~index.never[n][lo:hi], one_in)
+            hit = item[lo:hi] == ids[lo + d : hi + d]
+            if np.count_nonzero(hit) < least - least // one_in:
+                continue
+            got = longest_run(hit, ~index.never[n][lo:hi], one_in)
             if got >= least:
                 best[n] = max(best.get(n, 0), got)
     return best

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import frequent, leakage, mixing, tokenizers
+from plinth.llm import frequent, leakage, mixing, repetition, tokenizers
 from plinth.sources.tables import table
 
 
@@ -50,7 +50,16 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("source", "target_share", "max_repeats", zero("available"), zero("used"), zero("most_copies"), zero("documents"), F.round(F.coalesce(F.col("used"), F.lit(0)) / F.col("__all"), 6).alias("actual_share"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_top_paths, p4_top_emails, p7_found, p8_shares, p8_mix)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf, "documents")).where("repetitive").select("doc_id").distinct()
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of repeated content of every document."""
+    return repetition.repetition(table(spark, sf, "documents")).select("doc_id", F.round("share", 6).alias("share"), "stratum", "repetitive")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_top_paths, p4_top_emails, p7_found, p8_shares, p8_mix, p9_found, p9_shares)}
 
 SQL = {
     "p4_found": """
