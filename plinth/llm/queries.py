@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import frequent, leakage, mixing, repetition, tokenizers
+from plinth.llm import frequent, handwritten, leakage, mixing, repetition, tokenizers
 from plinth.sources.tables import table
 
 
@@ -25,6 +25,17 @@ def p4_top_emails(spark: SparkSession, sf: str) -> DataFrame:
     return frequent.top_items(table(spark, sf, "commits"), "author_email", 100)
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    changes = table(spark, sf, "diffs_changes").select("commit_id", "path", "repo", "mode", "insertions", "removals")
+    labelled = handwritten.labels(changes, table(spark, sf, "diffs").select("repo", "diff_changes"))
+    return handwritten.touched(changes.select("commit_id", "path", "repo"), labelled).select("commit_id", "path").distinct()
+
+
+def p6_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Label of every file."""
+    return handwritten.labels(table(spark, sf, "diffs_changes"), table(spark, sf, "diffs").select("repo", "diff_changes"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -59,7 +70,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition(table(spark, sf, "documents")).select("doc_id", F.round("share", 6).alias("share"), "stratum", "repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_top_paths, p4_top_emails, p7_found, p8_shares, p8_mix, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_top_paths, p4_top_emails, p6_found, p6_labels, p7_found, p8_shares, p8_mix, p9_found, p9_shares)}
 
 SQL = {
     "p4_found": """
