@@ -162,7 +162,7 @@ def _dir_prior(path: Column) -> Column:
 
 def _message(belief: Column, upward: bool) -> Column:
     """log of COMPATIBLE times exp(belief), stabilised by the largest belief."""
-    top = F.array_max(belief)
+    top = F.greatest(*(belief[k] for k in range(5)))
     e = [F.exp(belief[k] - top) for k in range(5)]
     rows = []
     for x in range(5):
@@ -172,11 +172,11 @@ def _message(belief: Column, upward: bool) -> Column:
 
 
 def _plus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+    return F.array(*(a[k] + b[k] for k in range(5)))
 
 
 def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
+    return F.array(*(a[k] - b[k] for k in range(5)))
 
 
 def _sum_arrays(column: str, out: str) -> Column:
@@ -202,11 +202,10 @@ def labels(changes: DataFrame, diffs: DataFrame | None = None, max_depth: int =
     parts = F.split("path", "/")
     depth = F.least(F.size(parts) - 1, F.lit(max_depth))
     names = _name_evidence(F.col("path"))
-    files = written(
-        files.select("repo", "path", F.array_join(F.slice(parts, F.lit(1), depth), "/").alias("dir"), F.array(*(F.col(f"l{k}") + names[k] for k in range(5))).alias("l")),
-        "files",
-    )
-    from_files = files.withColumn("m", _message(F.col("l"), True)).groupBy("repo", "dir").agg(_sum_arrays("m", "own"))
+    files = files.select("repo", "path", F.array_join(F.slice(parts, F.lit(1), depth), "/").alias("dir"), F.array(*(F.col(f"l{k}") + names[k] for k in range(5))).alias("l"))
+    # Each message is a column of its own before it is used: an expression used five times would be computed five times.
+    files = written(files.withColumn("m", _message(F.col("l"), True)), "files")
+    from_files = files.groupBy("repo", "dir").agg(_sum_arrays("m", "own"))
     # Every directory and its ancestors; depth 0 is the root of a repository.
     split = F.split("dir", "/")
     up_to = F.when(F.col("dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(split)))
@@ -233,17 +232,20 @@ def labels(changes: DataFrame, diffs: DataFrame | None = None, max_depth: int =
     for d in range(1, deepest + 1):
         above = known.withColumnRenamed("dir", "parent").withColumnRenamed("all", "above")
         level = up[d].join(above, ["repo", "parent"])
-        cavity = _minus(F.col("above"), F.col("sent"))
-        known = cut(level.select("repo", "dir", _plus(F.col("own"), _message(cavity, False)).alias("all")))
+        level = level.withColumn("cavity", _minus(F.col("above"), F.col("sent"))).withColumn("down", _message(F.col("cavity"), False))
+        known = cut(level.select("repo", "dir", _plus(F.col("own"), F.col("down")).alias("all")))
         everything = everything.unionByName(known)
-    told = files.join(everything, ["repo", "dir"])
-    cavity = _minus(F.col("all"), _message(F.col("l"), True))
-    belief = _plus(F.col("l"), _message(cavity, False))
-    final = told.select("repo", "path", belief.alias("b"))
-    top = F.array_max("b")
-    at = F.array_position("b", top).cast("int")
-    sure = 1 / F.aggregate(F.transform("b", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
-    return final.select("repo", "path", F.element_at(F.array(*map(F.lit, LABELS)), at).alias("label"), sure.alias("certainty"))
+    told = files.join(everything, ["repo", "dir"]).select("repo", "path", "l", _minus(F.col("all"), F.col("m")).alias("cavity"))
+    told = told.select("repo", "path", "l", _message(F.col("cavity"), False).alias("down"))
+    told = told.select("repo", "path", *((F.col("l")[k] + F.col("down")[k]).alias(f"b{k}") for k in range(5)))
+    told = told.withColumn("top", F.greatest(*(F.col(f"b{k}") for k in range(5))))
+    label = F.lit(LABELS[4])
+    for k in (3, 2, 1, 0):
+        label = F.when(F.col(f"b{k}") == F.col("top"), LABELS[k]).otherwise(label)
+    mass = F.exp(F.col("b0") - F.col("top"))
+    for k in range(1, 5):
+        mass = mass + F.exp(F.col(f"b{k}") - F.col("top"))
+    return told.select("repo", "path", label.alias("label"), (1 / mass).alias("certainty"))
 
 
 def touched(changes: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -55,6 +55,6 @@ def test_trees_siblings_and_edges(spark):
     assert got["app/generated_reports/v3.py"] == "handwritten"
     assert (got["yarn.lock"], got["src/t.go"], got["src/g.go"]) == ("generated", "blob", "generated")
     assert got["/".join("d" * 60) + "/deep.py"] == "handwritten"
-    assert len(got) == 19
+    assert len(got) == 20
     assert H.labels(df.limit(0), diffs.limit(0)).count() == 0
     assert H.touched(df.drop("label"), H.labels(df, diffs)).where("path = 'yarn.lock'").count() == 1
