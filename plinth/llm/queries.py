@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import frequent, handwritten, leakage, mixing, repetition, tokenizers
+from plinth.llm import frequent, handwritten, leakage, mixing, repetition, secrets, tokenizers
 from plinth.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.credentials(table(spark, sf, "diffs").select("commit_id", "repo", "diff_changes"))
+    return found.select("commit_id", "location", "line_no").distinct()
+
+
+def p3_masked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every content that holds a credential, with only the values masked."""
+    diffs = table(spark, sf, "diffs").select("commit_id", "repo", "diff_changes")
+    return secrets.masked(diffs, secrets.credentials(diffs))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     def one(name: str, column: str) -> DataFrame:
         heavy = frequent.heavy_items(table(spark, sf, name), column, 0.008, 10)
@@ -70,7 +81,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition(table(spark, sf, "documents")).select("doc_id", F.round("share", 6).alias("share"), "stratum", "repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_top_paths, p4_top_emails, p6_found, p6_labels, p7_found, p8_shares, p8_mix, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_masked, p4_found, p4_top_paths, p4_top_emails, p6_found, p6_labels, p7_found, p8_shares, p8_mix, p9_found, p9_shares)}
 
 SQL = {
     "p4_found": """
