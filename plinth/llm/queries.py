@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import frequent, handwritten, leakage, mixing, people, repetition, secrets, tokenizers
+from plinth.llm import frequent, handwritten, leakage, mixing, people, pii, repetition, secrets, tokenizers
 from plinth.sources.tables import table
 
 
@@ -18,6 +18,16 @@ def p1_members(spark: SparkSession, sf: str) -> DataFrame:
     return people.persons(table(spark, sf, "author_identities")).select(F.col("id").alias("identity_id"), F.col("component").alias("person_id"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.personal(table(spark, sf, "commits"), ["message", "author_email"])
+    return found.select("commit_id", "field", F.explode("kinds").alias("kind")).distinct()
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every message and address with personal items replaced by placeholders."""
+    return pii.personal(table(spark, sf, "commits"), ["message", "author_email"]).select("commit_id", "field", "redacted")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     found = secrets.credentials(table(spark, sf, "diffs").select("commit_id", "repo", "diff_changes"))
     return found.select("commit_id", "location", "line_no").distinct()
@@ -90,7 +100,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition(table(spark, sf, "documents")).select("doc_id", F.round("share", 6).alias("share"), "stratum", "repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_members, p3_found, p3_masked, p4_found, p4_top_paths, p4_top_emails, p6_found, p6_labels, p7_found, p8_shares, p8_mix, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p2_found, p2_redacted, p3_found, p3_masked, p4_found, p4_top_paths, p4_top_emails, p6_found, p6_labels, p7_found, p8_shares, p8_mix, p9_found, p9_shares)}
 
 SQL = {
     "p4_found": """
