@@ -83,7 +83,15 @@ class Finder:
         return out
 
 
+#: The local part of an address, dots written out or not.
+_LOCAL = re.compile(r"(?i)[\w.+%\-]+(?:(?:\s+dot\s+|\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*)[\w.+%\-]+)*$")
+
+
 def _trimmed(line: str, a: int, b: int, kind: str) -> tuple[int, int, str]:
+    """The span without the blanks, marks and words around the item itself."""
+    if kind == "email" and (at := list(_AT.finditer(line, a, b))):
+        local = _LOCAL.search(line, a, at[-1].start())
+        a = local.start() if local else a
     while a < b and line[a] in (" \t\r<\"'" if kind == "phone" else " \t\r<(\"'"):
         a += 1
     while b > a and line[b - 1] in " \t\r>,;\"'" + ("." if kind != "name" else ""):
