@@ -32,9 +32,9 @@ def heavy_items(df: DataFrame, column: str, share: float, least: int = 1) -> Dat
     """Every value with at least ``share`` of the non-null rows and ``least`` rows: ``value, n, total``.
 
     No more than ``1 / share`` values can qualify, so the ordered limit of that many rows drops none.
-    The total comes from the same aggregation, as one row (the only thing broadcast).
+    The total is one number, counted from the column's metadata and values in a scan of its own.
     """
     counts = _counts(df, column)
     top = counts.orderBy(F.col("n").desc(), F.col("value").asc()).limit(math.ceil(1 / share) + 1)
-    total = df.agg(F.count(F.col(f"`{column}`")).alias("total"))
-    return top.join(F.broadcast(total)).where((F.col("n") >= F.col("total") * share) & (F.col("n") >= least))
+    total = df.agg(F.count(F.col(f"`{column}`"))).first()[0]
+    return top.where(F.col("n") >= max(least, total * share)).withColumn("total", F.lit(total).cast("bigint"))

@@ -119,8 +119,8 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", blocks_per_s
     limit = F.lit(0).cast("bigint")
     for s, (_, cap) in shares.items():
         limit = F.when(F.col("source") == s, supply[s] * cap).otherwise(limit)
-    end = ranked.where(F.col("rank") >= limit).agg(F.min("id").alias("__end"))
-    used = ranked.join(F.broadcast(end)).where(F.col("__end").isNull() | (F.col("id") < F.col("__end")))
+    end = ranked.where(F.col("rank") >= limit).agg(F.min("id")).first()[0]
+    used = ranked if end is None else ranked.where(F.col("id") < end)
     # A source's slots 0..r-1 use each of its blocks r div b times, the first r mod b once more.
     taken = {r["source"]: r["r"] for r in used.groupBy("source").agg(F.count(F.lit(1)).alias("r")).collect()}
     copies = F.lit(0).cast("bigint")

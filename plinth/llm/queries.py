@@ -84,11 +84,11 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     counted, mixed = _mixed(spark, sf)
     have = counted.groupBy("source").agg(F.sum("tokens").alias("available"))
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("documents"))
-    total = used.agg(F.sum("used").alias("__all"))
+    total = used.agg(F.sum("used")).first()[0]
     want = table(spark, sf, "mix_targets").select(mixing.clean_source(F.col("source")).alias("source"), "target_share", "max_repeats")
-    rows = want.join(have, "source", "left").join(used, "source", "left").join(F.broadcast(total))
+    rows = want.join(have, "source", "left").join(used, "source", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return rows.select("source", "target_share", "max_repeats", zero("available"), zero("used"), zero("most_copies"), zero("documents"), F.round(F.coalesce(F.col("used"), F.lit(0)) / F.col("__all"), 6).alias("actual_share"))
+    return rows.select("source", "target_share", "max_repeats", zero("available"), zero("used"), zero("most_copies"), zero("documents"), F.round(F.coalesce(F.col("used"), F.lit(0)) / F.lit(float(total or 1)), 6).alias("actual_share"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
