@@ -12,8 +12,9 @@ unbroken stretches, so one stretch has 6 words or more; windows of 5 canonical w
 no run (placeholders only merge words, never split them).
 
 Stock sentences: an item's window is stock if it recurs in more than ``stock_share`` of all
-documents (counted over the whole table), or if the sentence it lies in is shared, word for word, by
-two items.  Stock words never count towards a run.
+documents for each item that has it (counted over the whole table; a phrase many items use is found
+wherever any of them leaks), or if the sentence it lies in is shared, word for word, by two items.
+Stock words never count towards a run.
 
 Scale: the items are a stated query set.  Their index is broadcast to the Python workers while it is
 below ``index_limit`` windows, else it is split into as many blocks as needed and the documents are
@@ -92,10 +93,13 @@ class ItemIndex:
         self.exact_mask, self.template_mask = _mask(self.exact), _mask(self.templates)
         self.memo: dict[str, int] = {}
 
-    def add_stock(self, hashes: set[int]) -> None:
-        for h in hashes:
-            for n, j in self.exact.get(h, ()):
-                self.never[n][j : j + WINDOW] = True
+    def add_stock(self, counts: dict[int, int], floor: float) -> None:
+        """Marks the windows found in ``floor`` documents or more for each item that has them."""
+        for h, n_docs in counts.items():
+            places = self.exact.get(h, ())
+            if n_docs >= floor * len({n for n, _ in places}):
+                for n, j in places:
+                    self.never[n][j : j + WINDOW] = True
 
     def read(self, text: str | None) -> np.ndarray:
         """Word ids of a text, -1 for words of no item; foldings are remembered for recent words."""
@@ -216,7 +220,7 @@ def _second_pass(index: ItemIndex, least: int, one_in: int):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 25, one_in: int = 8, stock_share: float = 0.005, stock_docs: int = 5, index_limit: int = 200_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 25, one_in: int = 8, stock_share: float = 0.015, stock_docs: int = 5, index_limit: int = 200_000) -> DataFrame:
     """(document, item) pairs: ``ident, item_id, run`` with the longest run in words.
 
     * Null or empty texts on either side leak nothing; texts of any length are read whole.
@@ -235,7 +239,7 @@ def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
         floor = max(stock_docs, stock_share * n_docs)
         # At most one row per window of the block: bounded by index_limit.
         common = first.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-        index.add_stock({int(np.int64(r["h"]).astype(np.uint64)) for r in common.collect()})
+        index.add_stock({int(np.int64(r["h"]).astype(np.uint64)): r["n"] for r in common.collect()}, floor)
         part = first.where(F.col("doc").isNotNull()).select("doc", "ids").mapInPandas(_second_pass(index, least, one_in), "doc bigint, item_id bigint, run bigint")
         out = part if out is None else out.unionByName(part)
     if out is None:
