@@ -137,9 +137,10 @@ def masked(diffs: DataFrame, found: DataFrame) -> DataFrame:
     in characters stay.  Places are gathered per file (a file's own places, bounded by its length).
     """
     spans = found.select("commit_id", "owner", "location", "spans").groupBy("commit_id", "owner", "location").agg(F.collect_set("spans").alias("__spans"))
-    files = _files(diffs).dropDuplicates(["commit_id", "owner", "location", "content"])
+    files = _files(diffs)
     same = [files[c].eqNullSafe(spans[c]) for c in ("commit_id", "owner", "location")]
-    both = files.join(spans, same).select(files["commit_id"], files["location"], files["content"], spans["__spans"])
+    # Only files that hold a credential are left when repeated rows are dropped.
+    both = files.join(spans, same).select(files["commit_id"], files["owner"], files["location"], files["content"], spans["__spans"]).dropDuplicates(["commit_id", "owner", "location", "content"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
