@@ -12,8 +12,10 @@ ones (bounded), since lines and addresses recur; results do not depend on that m
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
+from importlib import resources
 from pathlib import Path
 
 import pandas as pd
@@ -55,7 +57,7 @@ class Finder:
     def __init__(self, most: int = 200_000) -> None:
         from plinth.llm.pii_model import Model
 
-        self.model = Model.load(WEIGHTS)
+        self.model = Model.load(io.BytesIO(resources.files("plinth.llm").joinpath(WEIGHTS.name).read_bytes()))
         self.memo: dict[str, list[tuple[int, int, str]]] = {}
         self.most = most
 
