@@ -6,20 +6,29 @@ is unset (tests, notebooks) a folder of our own is made.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _own_dir() -> str:
+    """A folder for tests and notebooks, gone with the process; clusters name theirs."""
+    own = tempfile.mkdtemp(prefix="plinth-checkpoint-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return "file://" + own
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach; the context's checkpoint directory is set to it once."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="plinth-checkpoint-")
+        named = current.get() if current.isDefined() else _own_dir()
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named

@@ -189,10 +189,19 @@ _dialect(
     "SELECT commit_id, repo, diff_files_count(diff_changes) AS n, diff_changed_files(diff_changes) AS f, is_diff_has_file(diff_changes, 'src/lib.rs') AS h FROM diffs",
     "SELECT commit_id, repo, CAST(len(list_distinct([coalesce(x.location, chr(1)) FOR x IN diff_changes])) AS BIGINT) AS n, [x.location FOR x IN diff_changes] AS f, len([x FOR x IN diff_changes IF x.location = 'src/lib.rs']) > 0 AS h FROM diffs",
 )
+_HEX = "array_to_string([hex(x.content) FOR x IN diff_changes IF x.content IS NOT NULL{}], '')"
+_HAS = "contains(" + _HEX + ", hex('packet'))"
+_BYTES = "CAST(coalesce(list_sum([octet_length(x.content) FOR x IN diff_changes IF x.content IS NOT NULL{}]), 0) AS BIGINT)"
+_OF_KIND = " AND x.kind = '{}'"
+_CONTENT_SQL = (
+    f"SELECT commit_id, repo, {_HAS.format('')} AS c, "
+    + ", ".join(_HAS.format(_OF_KIND.format(k)) + f" AS {k.lower()}" for k in "ADM")
+    + f", TRUE AS o, {_BYTES.format(_OF_KIND.format('D'))} AS dl, {_BYTES.format(_OF_KIND.format('M'))} > 0 AS ml FROM diffs"
+)
 _dialect(
     "q54_diff_content", "diffs",
     "SELECT commit_id, repo, diff_content_contains(diff_changes, 'packet') AS c, diff_added_content_contains(diff_changes, 'packet') AS a, diff_deleted_content_contains(diff_changes, 'packet') AS d, diff_modified_content_contains(diff_changes, 'packet') AS m, len(diff_content(diff_changes)) >= len(diff_added_content(diff_changes)) AS o, len(diff_deleted_content(diff_changes)) AS dl, len(diff_modified_content(diff_changes)) > 0 AS ml FROM diffs",
-    None,
+    _CONTENT_SQL,
 )
 
 
