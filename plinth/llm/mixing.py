@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,37 +98,30 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", blocks_per_s
     spread = spread.withColumn("__b", F.floor((F.col("__h").cast("double") / 2.0**64 + 0.5) * buckets).cast("int"))
     cum = running_sum(spread, ["source"], "__b", ["__h", ident], "tokens", "__before")
     supply = {s: max(1, round(sums[s][0] / block)) for s in shares}
-    number = F.lit(0.0)
-    for s, n in supply.items():
-        number = F.when(F.col("source") == s, F.floor(F.col("__before") * F.lit(n / sums[s][0]))).otherwise(number)
-    placed = cum.select(ident, "source", "tokens", number.cast("bigint").alias("__block"))
+    # A source's blocks are equal, but not quite of the common size: its slots make up for that.
+    weight = {s: w / (sums[s][0] / supply[s]) for s, (w, _) in shares.items()}
+    plan = spark.createDataFrame([(s, supply[s], supply[s] / sums[s][0], supply[s] * cap) for s, (_, cap) in shares.items()], "source string, __blocks bigint, __per_token double, __most bigint")
+    placed = cum.join(F.broadcast(plan), "source").select(ident, "source", "tokens", F.floor(F.col("__before") * F.col("__per_token")).cast("bigint").alias("__block"))
 
     # The schedule: slots in chunks, ranked by chunk totals plus rank inside the chunk.
     slots = math.ceil(size / block) + 64
-    # A source's blocks are equal, but not quite of the common size: its slots make up for that.
-    weight = {s: w / (sums[s][0] / supply[s]) for s, (w, _) in shares.items()}
-    bounds, at = [], 0.0
-    for s in shares:
-        at += weight[s] / sum(weight.values())
-        bounds.append((s, at))
-    point = (F.col("id") * F.lit(GOLDEN)) % 1.0
-    source = F.lit(bounds[-1][0])
-    for s, upper in reversed(bounds[:-1]):
-        source = F.when(point < upper, s).otherwise(source)
-    plan = spark.range(slots).select("id", source.alias("source"), F.floor(F.col("id") / 16_384).alias("__c"), F.lit(1).alias("__one"))
-    ranked = running_sum(plan, ["source"], "__c", ["id"], "__one", "rank")
-    limit = F.lit(0).cast("bigint")
-    for s, (_, cap) in shares.items():
-        limit = F.when(F.col("source") == s, supply[s] * cap).otherwise(limit)
-    end = ranked.where(F.col("rank") >= limit).agg(F.min("id")).first()[0]
+    names = list(shares)
+    bounds = np.cumsum([weight[s] for s in names]) / sum(weight.values())
+
+    @F.pandas_udf("string")
+    def source_of(slot: pd.Series) -> pd.Series:
+        at = np.searchsorted(bounds, (slot.to_numpy() * GOLDEN) % 1.0, side="right")
+        return pd.Series(np.array(names, dtype=object)[np.minimum(at, len(names) - 1)])
+
+    schedule = spark.range(slots).select("id", source_of("id").alias("source"), F.floor(F.col("id") / 16_384).alias("__c"), F.lit(1).alias("__one"))
+    ranked = running_sum(schedule, ["source"], "__c", ["id"], "__one", "rank").join(F.broadcast(plan.select("source", "__most")), "source")
+    end = ranked.where(F.col("rank") >= F.col("__most")).agg(F.min("id")).first()[0]
     used = ranked if end is None else ranked.where(F.col("id") < end)
     # A source's slots 0..r-1 use each of its blocks r div b times, the first r mod b once more.
     taken = {r["source"]: r["r"] for r in used.groupBy("source").agg(F.count(F.lit(1)).alias("r")).collect()}
-    copies = F.lit(0).cast("bigint")
-    for s in shares:
-        full, rest = divmod(taken.get(s, 0), supply[s])
-        copies = F.when(F.col("source") == s, F.lit(full) + (F.col("__block") < rest).cast("bigint")).otherwise(copies)
-    return placed.select(ident, "source", "tokens", copies.cast("bigint").alias("copies")).where(F.col("copies") > 0)
+    turns = spark.createDataFrame([(s, *divmod(taken.get(s, 0), supply[s])) for s in shares], "source string, __full bigint, __rest bigint")
+    copies = F.col("__full") + (F.col("__block") < F.col("__rest")).cast("bigint")
+    return placed.join(F.broadcast(turns), "source").select(ident, "source", "tokens", copies.alias("copies")).where(F.col("copies") > 0)
 
 
 def mixed_documents(documents: DataFrame, targets: DataFrame, vocabulary: str, pattern: str, ident: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
