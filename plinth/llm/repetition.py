@@ -34,9 +34,28 @@ LEAST = 12
 SHORT = 600
 
 _TABLE = bytes(48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_SENTENCE = re.compile(rb"[.!?]+[\s\"')\]]+|\xe3\x80\x82|\xef\xbc\x8e|\xef\xbc\x81|\xef\xbc\x9f")
+_SENTENCE = re.compile(rb"[.!?]+[\s\"')\]]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힯ｦ-ﾟ]")
-_WIDE_BLANKS = str.maketrans(dict.fromkeys(map(ord, "     　​﻿"), " ") | {0xFF10 + i: str(i) for i in range(10)} | dict.fromkeys(map(ord, "、，「」【】（）・"), " "))
+#: Blanks and marks beyond ASCII, sentence ends beyond ASCII, digits of full width.
+_BLANKS = "\u00a0\u2000\u2001\u2002\u2003\u2009\u202f\u200b\ufeff\u3000\u3001\uff0c\u300c\u300d\u3010\u3011\uff08\uff09\u30fb"
+_ENDS = "\u3002\uff0e\uff01\uff1f"
+_DIGITS = {chr(0xFF10 + i): str(i) for i in range(10)}
+
+
+def _plain(text: str) -> str:
+    """One kind of blank, of sentence end and of digit; only what occurs is replaced."""
+    for ch in _BLANKS:
+        if ch in text:
+            text = text.replace(ch, " ")
+    for ch in _ENDS:
+        if ch in text:
+            text = text.replace(ch, ". ")
+    for ch, d in _DIGITS.items():
+        if ch in text:
+            text = text.replace(ch, d)
+    return text.lower()
+
+
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
@@ -85,7 +104,7 @@ def share(text: str | None) -> float:
         return 0.0
     chars = wide(text)
     if not text.isascii():
-        text = text.translate(_WIDE_BLANKS).lower()
+        text = _plain(text)
     raw = text.encode("utf-8", "surrogatepass")
     words: list[bytes] = []
     seen: set[bytes] = set()
