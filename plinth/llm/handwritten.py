@@ -33,7 +33,7 @@ from plinth.operators.spreading import spread
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 #: Compatibility of a directory's label (row) with a child's label (column).
 COMPATIBLE = (
-    (0.90, 0.03, 0.02, 0.02, 0.03),
+    (0.93, 0.012, 0.02, 0.012, 0.026),
     (0.06, 0.90, 0.015, 0.015, 0.01),
     (0.08, 0.04, 0.85, 0.02, 0.01),
     (0.02, 0.02, 0.02, 0.93, 0.01),
@@ -204,7 +204,9 @@ def labels(changes: DataFrame, diffs: DataFrame | None = None, max_depth: int =
     names = _name_evidence(F.col("path"))
     files = files.select("repo", "path", F.array_join(F.slice(parts, F.lit(1), depth), "/").alias("dir"), F.array(*(F.col(f"l{k}") + names[k] for k in range(5))).alias("l"))
     # Each message is a column of its own before it is used: an expression used five times would be computed five times.
-    files = written(files.withColumn("m", _message(F.col("l"), True)), "files")
+    # A lock file lies beside any kind of code and says nothing of its directory: its message is flat.
+    lock = F.element_at(F.split("path", "/"), -1).rlike(LOCK_NAMES)
+    files = written(files.withColumn("m", F.when(lock, nil).otherwise(_message(F.col("l"), True))), "files")
     from_files = files.groupBy("repo", "dir").agg(_sum_arrays("m", "own"))
     # Every directory and its ancestors; depth 0 is the root of a repository.
     split = F.split("dir", "/")
@@ -226,7 +228,10 @@ def labels(changes: DataFrame, diffs: DataFrame | None = None, max_depth: int =
         if below is not None:
             told = below.groupBy("repo", F.col("parent").alias("dir")).agg(_sum_arrays("sent", "told"))
             level = level.join(told, ["repo", "dir"], "left").withColumn("own", _plus(F.col("own"), F.coalesce("told", nil))).drop("told")
-        below = up[d] = cut(level.withColumn("sent", _message(F.col("own"), True)))
+        # A directory named for its content lies in any parent and says nothing of it.
+        last = F.lower(F.element_at(F.split("dir", "/"), -1))
+        said = F.when(last.isin(*VENDOR_DIRS, *GENERATED_DIRS), nil).otherwise(_message(F.col("own"), True))
+        below = up[d] = cut(level.withColumn("sent", said))
     known = up[0].select("repo", "dir", F.col("own").alias("all"))
     everything = known
     for d in range(1, deepest + 1):
