@@ -125,7 +125,7 @@ class Model:
             z[1] += table[1][both[1, :, t]]
             gates = z[:, :, : 3 * h_size]
             np.multiply(gates, 0.5, out=gates)
-            np.tanh(z if not keep else z, out=z)
+            np.tanh(z, out=z)
             np.multiply(gates, 0.5, out=gates)
             np.add(gates, 0.5, out=gates)
             i, f, o, g = (z[:, :, k * h_size : (k + 1) * h_size] for k in range(4))
@@ -183,34 +183,52 @@ class Model:
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """Best tag path of one text's emissions."""
-        n = len(e)
-        if n == 0:
-            return np.zeros(0, np.int64)
+        return self.paths([e])[0] if len(e) else np.zeros(0, np.int64)
+
+    def paths(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+        """Best tag paths of several texts, decoded side by side; each is as long as its text."""
+        order = sorted(range(len(emissions)), key=lambda k: -len(emissions[k]))
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(emissions)
         t = np.where(ALLOWED, self.p["T"], -1e4).astype(np.float32)
-        score = np.where(_START, e[0], -1e4)
-        back = np.empty((n, N_TAGS), np.int8)
-        for k in range(1, n):
-            s = score[:, None] + t
-            back[k] = s.argmax(axis=0)
-            score = s[back[k], np.arange(N_TAGS)] + e[k]
-        path = np.empty(n, np.int64)
-        path[-1] = score.argmax()
-        for k in range(n - 1, 0, -1):
-            path[k - 1] = back[k, path[k]]
-        return path
+        for at in range(0, len(order), 512):
+            group = [k for k in order[at : at + 512] if len(emissions[k])]
+            if not group:
+                continue
+            lengths = np.array([len(emissions[k]) for k in group])
+            width = int(lengths[0])
+            e = np.zeros((width, len(group), N_TAGS), np.float32)
+            for r, k in enumerate(group):
+                e[: lengths[r], r] = emissions[k]
+            back = np.empty((width, len(group), N_TAGS), np.int8)
+            score = np.where(_START, e[0], np.float32(-1e4))
+            for k in range(1, width):
+                n = int(np.searchsorted(-lengths, -k, side="left"))  # the texts longer than k come first
+                s = score[:n, :, None] + t
+                best = s.argmax(axis=1)
+                back[k, :n] = best
+                score[:n] = np.take_along_axis(s, best[:, None, :], 1)[:, 0] + e[k, :n]
+            path = np.zeros((width, len(group)), np.int64)
+            now = score.argmax(axis=1)
+            for k in range(width - 1, -1, -1):
+                live = lengths > k
+                path[k] = now
+                if k:
+                    now = np.where(live, back[k, np.arange(len(group)), now], now)
+            for r, k in enumerate(group):
+                out[k] = path[: lengths[r], r]
+        return out
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) in each text.
 
         Texts whose every character is O by a margin that no transition can turn need no Viterbi.
         """
-        res = []
         gain = float(np.where(ALLOWED, self.p["T"], -np.inf).max() - self.p["T"][0, 0]) * 2
-        for e in self.text_emissions(texts):
-            if len(e) == 0 or (e[:, 1:].max(axis=1) + gain < e[:, 0]).all():
-                res.append([])
-                continue
-            res.append(spans_of(self.viterbi(e)))
+        emissions = self.text_emissions(texts)
+        open_ = [k for k, e in enumerate(emissions) if len(e) and not (e[:, 1:].max(axis=1) + gain < e[:, 0]).all()]
+        res: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        for k, path in zip(open_, self.paths([emissions[k] for k in open_]), strict=True):
+            res[k] = spans_of(path)
         return res
 
     # ------------------------------------------------------------ training
