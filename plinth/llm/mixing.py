@@ -93,10 +93,10 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", blocks_per_s
     buckets = F.greatest(F.lit(1), F.ceil(F.col("__n") / 20_000)).cast("int")
     counts = spark.createDataFrame([(s, int(n)) for s, (_, n) in sums.items()], "source string, __n bigint")
     h = F.xxhash64(F.col(ident).cast("string"), F.lit("mix"))
-    spread = usable.join(F.broadcast(counts), "source").withColumn("__h", h)
+    hashed = usable.join(F.broadcast(counts), "source").withColumn("__h", h)
     # Shuffled order: by the high part of the hash (bucket), then by the hash.
-    spread = spread.withColumn("__b", F.floor((F.col("__h").cast("double") / 2.0**64 + 0.5) * buckets).cast("int"))
-    cum = running_sum(spread, ["source"], "__b", ["__h", ident], "tokens", "__before")
+    hashed = hashed.withColumn("__b", F.floor((F.col("__h").cast("double") / 2.0**64 + 0.5) * buckets).cast("int"))
+    cum = running_sum(hashed, ["source"], "__b", ["__h", ident], "tokens", "__before")
     supply = {s: max(1, round(sums[s][0] / block)) for s in shares}
     # A source's blocks are equal, but not quite of the common size: its slots make up for that.
     weight = {s: w / (sums[s][0] / supply[s]) for s, (w, _) in shares.items()}
