@@ -11,23 +11,27 @@ Completeness: in a run of ``least`` = 25 words with at most 3 replaced, 22 words
 unbroken stretches, so one stretch has 6 words or more; windows of 5 canonical words therefore miss
 no run (placeholders only merge words, never split them).
 
-Stock sentences: an item's window is stock if it recurs in more than ``stock_share`` of all
-documents for each item that has it (counted over the whole table; a phrase many items use is found
-wherever any of them leaks), or if the sentence it lies in is shared, word for word, by two items.
-Stock words never count towards a run.
+Stock sentences are told by where they stand, not by how often a passage is found.  A sentence of an
+item stands alone in a document if no words of the item precede or follow it there.  It is stock if it
+stands alone in ``stock_contexts`` unrelated surroundings (copies and members of a family are one) and
+no less often than in the item's company, or if the sentence is shared, word for word, by two items.
+Stock words never count towards a run; a passage longer than its sentence is never stock.
 
 Scale: the items are a stated query set.  Their index is broadcast to the Python workers while it is
 below ``index_limit`` windows, else it is split into as many blocks as needed and the documents are
-scanned once per block.  One pass reads the texts; it writes candidates (as word ids) and window
-counts to the shared folder, and stock words are applied to the candidates alone.  Nothing of the
-documents is ever collected, and the only shuffles carry window counts and (document, item) pairs.
+scanned once per block.  One pass reads the texts; it writes candidates (as word ids) and the places
+of items' sentences to the shared folder; stock is decided over all blocks together and applied to the
+candidates alone.  Of the documents nothing but the keys of stock sentences is ever collected, and the
+only shuffles carry places of sentences and (document, item) pairs.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -42,6 +46,28 @@ WINDOW = 5
 #: Unit words that stand after a number.
 UNITS = frozenset("mm cm m km kg g mg s ms h hz khz mhz percent degrees celsius hours minutes seconds cycles units pence coins grains cups drops turns moons teeth stones pins springs rings revolutions micrometres milliseconds newtons euros dollars".split())
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
+#: Words on either side that tell whether a sentence stands in its item's company.
+NEAR = 4
+
+
+def _key(data: bytes) -> int:
+    """A stable 64-bit key, signed as Spark's bigint."""
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _words_key(ws: list[str]) -> int:
+    return _key(" ".join(ws).encode("utf-8", "surrogatepass"))
+
+
+def sentences(text: str | None, tokens: list[str]) -> list[tuple[int, int, int]]:
+    """(key, first word, words) of the sentences of an item that are long enough to be looked for."""
+    out, at = [], 0
+    for s in _SENTENCE.split(text or ""):
+        ws = [fold(w) for w in words(s)]
+        if len(ws) >= WINDOW and tokens[at : at + len(ws)] == ws:
+            out.append((_words_key(ws), at, len(ws)))
+        at += len(ws)
+    return out
 
 
 class ItemIndex:
@@ -66,48 +92,65 @@ class ItemIndex:
         for k, w in enumerate(vocab):
             kinds.append(-2 if w.isdigit() else -3 if w in UNITS else -4 if w in names else k)
         self.kind = np.array([*kinds, -1], dtype=np.int64)  # the last entry answers for id -1, words of no item
-        # Sentences shared by two items are stock.
-        sentences: dict[tuple, set] = defaultdict(set)
         self.never = [np.zeros(len(ts), dtype=bool) for ts in tokens]
-        places = []
+        self.sentences: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for n, (_, t) in enumerate(items):
-            at = 0
-            for s in _SENTENCE.split(t or ""):
-                ws = tuple(fold(w) for w in words(s))
-                if at + len(ws) <= len(tokens[n]):
-                    sentences[ws].add(n)
-                    places.append((n, at, ws))
-                at += len(ws)
-        for n, at, ws in places:
-            if len(ws) >= 8 and len(sentences[ws]) > 1:
-                self.never[n][at : at + len(ws)] = True
-        self.exact: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for key, at, size in sentences(t, tokens[n]):
+                self.sentences[key].append((n, at, size))
+        # Sentences shared by two items are stock.
+        for places in self.sentences.values():
+            if places[0][2] >= 8 and len({n for n, _, _ in places}) > 1:
+                for n, at, size in places:
+                    self.never[n][at : at + size] = True
+        self.starts: dict[int, list[int]] = defaultdict(list)
+        for key, places in self.sentences.items():
+            n, at, _ = places[0]
+            self.starts[int(windows(self.words[n][at : at + WINDOW])[0])].append(key)
         self.templates: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n, ids in enumerate(self.words):
-            for j, h in enumerate(windows(ids).tolist()):
-                if not self.never[n][j : j + WINDOW].any():
-                    self.exact[h].append((n, j))
             for j, h in enumerate(windows(self.kind[ids]).tolist()):
                 if not self.never[n][j : j + WINDOW].any():
                     self.templates[h].append((n, j))
-        self.exact_mask, self.template_mask = _mask(self.exact), _mask(self.templates)
+        self.start_mask, self.template_mask = _mask(self.starts), _mask(self.templates)
         self.memo: dict[str, int] = {}
 
-    def add_stock(self, counts: dict[int, int], floor: float) -> None:
-        """Marks the windows found in ``floor`` documents or more for each item that has them."""
-        for h, n_docs in counts.items():
-            places = self.exact.get(h, ())
-            if n_docs >= floor * len({n for n, _ in places}):
-                for n, j in places:
-                    self.never[n][j : j + WINDOW] = True
-
-    def read(self, text: str | None) -> np.ndarray:
-        """Word ids of a text, -1 for words of no item; foldings are remembered for recent words."""
+    def add_stock(self, keys: Iterable[int]) -> None:
+        """Marks the words of stock sentences; keys of other blocks are passed over."""
+        for key in keys:
+            for n, at, size in self.sentences.get(key, ()):
+                self.never[n][at : at + size] = True
+
+    def found_sentences(self, ids: np.ndarray, text: list[str]) -> Iterator[tuple[int, int, bool, int]]:
+        """(key, place, alone, context) of the items' sentences in a document of these words.
+
+        The context of a sentence alone is the words around it, else the whole document.
+        """
+        for j, h in _hits(windows(ids), self.start_mask, self.starts):
+            for key in self.starts[h]:
+                n, at, size = self.sentences[key][0]
+                if np.array_equal(ids[j : j + size], self.words[n][at : at + size]):
+                    if any(self._accompanied(ids, j, *place) for place in self.sentences[key]):
+                        yield key, j, False, _key(ids.tobytes())
+                    else:
+                        around = [*text[max(0, j - NEAR) : j], "|", *text[j + size : j + size + NEAR]]
+                        yield key, j, True, _words_key(around)
+
+    def _accompanied(self, ids: np.ndarray, j: int, n: int, at: int, size: int) -> bool:
+        """Whether two of the words next to a sentence, on one side, are the item's own there."""
+        own = self.words[n]
+        k = min(NEAR, at, j)
+        if np.count_nonzero(own[at - k : at] == ids[j - k : j]) >= 2:
+            return True
+        k = min(NEAR, len(own) - at - size, len(ids) - j - size)
+        return np.count_nonzero(own[at + size : at + size + k] == ids[j + size : j + size + k]) >= 2
+
+    def read(self, text: list[str]) -> np.ndarray:
+        """Word ids of a text's words, -1 for words of no item; foldings are remembered for recent words."""
         memo, vocab = self.memo, self.vocab
         if len(memo) > 500_000:
             memo.clear()
         out = []
-        for w in words(text):
+        for w in text:
             k = memo.get(w)
             if k is None:
                 k = memo[w] = vocab.get(fold(w), -1)
@@ -190,27 +233,46 @@ def runs(index: ItemIndex, ids: np.ndarray, least: int, one_in: int) -> dict[int
     return best
 
 
+_FOUND = "doc bigint, ids binary, h bigint, at bigint, alone boolean, context bigint, family string"
+
+
 def _first_pass(index: ItemIndex, least: int, one_in: int):
-    """Candidates with their word ids, and at a task's end the number of documents of each item window."""
+    """Candidates with their word ids, and the places of the items' sentences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
         for b in batches:
-            found = []
-            for doc, text in zip(b["__id"].tolist(), b["__text"], strict=True):
-                ids = index.read(text)
+            found: list[tuple] = []
+            for doc, text, family in zip(b["__id"].tolist(), b["__text"], b["__family"], strict=True):
+                ws = words(text)
+                ids = index.read(ws)
                 if len(ids) < WINDOW:
                     continue
-                seen.update({h for _, h in _hits(windows(ids), index.exact_mask, index.exact)})
+                found += [(doc, None, h, at, alone, context, family) for h, at, alone, context in index.found_sentences(ids, ws)]
                 if len(ids) >= least and runs(index, ids, least, one_in):
-                    found.append((doc, ids.astype(np.int32).tobytes(), None, None))
-            yield pd.DataFrame(found, columns=["doc", "ids", "h", "n"]).astype({"doc": "Int64", "h": "Int64", "n": "Int64"})
-        counts = pd.DataFrame({"h": np.array(list(seen), dtype=np.uint64).astype(np.int64), "n": np.array(list(seen.values()), dtype=np.int64)})
-        yield counts.assign(doc=pd.Series([None] * len(counts), dtype="Int64"), ids=None)[["doc", "ids", "h", "n"]]
+                    found.append((doc, ids.astype(np.int32).tobytes(), None, None, None, None, None))
+            columns = zip(*found, strict=True) if found else [()] * 7
+            kinds = ("Int64", object, "Int64", "Int64", "boolean", "Int64", object)
+            names = ("doc", "ids", "h", "at", "alone", "context", "family")
+            yield pd.DataFrame({name: pd.Series(list(c), dtype=kind) for name, kind, c in zip(names, kinds, columns, strict=True)})
 
     return run
 
 
+def _stock(firsts: list[DataFrame], stock_contexts: int) -> list[int]:
+    """Keys of the stock sentences, decided over the documents and all blocks of items.
+
+    A place counts as alone only if it does so for every item, of whatever block.
+    """
+    found = functools.reduce(DataFrame.unionByName, firsts).where(F.col("h").isNotNull())
+    # The document's context is preferred where any block saw the item's company.
+    places = found.groupBy("h", "doc", "at").agg(F.min(F.struct("alone", "context")).alias("p"), F.first("family").alias("family"))
+    places = places.select("h", "p.alone", "p.context", F.coalesce("family", F.col("p.context").cast("string")).alias("group"))
+    counts = places.groupBy("h", "alone").agg(F.least(F.countDistinct("context"), F.countDistinct("group")).alias("n"))
+    by_key = counts.groupBy("h").agg(*(F.coalesce(F.max(F.when(F.col("alone") == v, F.col("n"))), F.lit(0)).alias(c) for c, v in (("alone", True), ("beside", False))))
+    stock = by_key.where((F.col("alone") >= stock_contexts) & (F.col("alone") >= F.col("beside")))
+    return [r["h"] for r in stock.select("h").collect()]
+
+
 def _second_pass(index: ItemIndex, least: int, one_in: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -220,30 +282,30 @@ def _second_pass(index: ItemIndex, least: int, one_in: int):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 25, one_in: int = 8, stock_share: float = 0.015, stock_docs: int = 5, index_limit: int = 200_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 25, one_in: int = 8, stock_contexts: int = 3, family: str = "family_id", index_limit: int = 200_000) -> DataFrame:
     """(document, item) pairs: ``ident, item_id, run`` with the longest run in words.
 
     * Null or empty texts on either side leak nothing; texts of any length are read whole.
     * Copies of a document or an item each give their own pairs; every pair is given once.
+    * ``family`` is read if the documents have it; without it copies are told by their words alone.
     * ``items`` is the stated query set; it is read through the driver in blocks of at most
       ``index_limit`` windows, so an item table of any size is served.
     """
     spark = documents.sparkSession
-    narrow = spread(documents.select(F.col(ident).cast("bigint").alias("__id"), F.col(text).alias("__text")).where(F.col("__text").isNotNull()))
-    n_docs = None
-    out = None
+    members = F.col(family).cast("string") if family in documents.columns else F.lit(None).cast("string")
+    narrow = spread(documents.select(F.col(ident).cast("bigint").alias("__id"), F.col(text).alias("__text"), members.alias("__family")).where(F.col("__text").isNotNull()))
+    firsts = []
     for rows in _blocks(items, item, item_text, index_limit):
-        index = ItemIndex(rows)
-        first = written(narrow.mapInPandas(_first_pass(index, least, one_in), "doc bigint, ids binary, h bigint, n bigint"), "leaks")
-        n_docs = n_docs if n_docs is not None else documents.count()
-        floor = max(stock_docs, stock_share * n_docs)
-        # At most one row per window of the block: bounded by index_limit.
-        common = first.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-        index.add_stock({int(np.int64(r["h"]).astype(np.uint64)): r["n"] for r in common.collect()}, floor)
-        part = first.where(F.col("doc").isNotNull()).select("doc", "ids").mapInPandas(_second_pass(index, least, one_in), "doc bigint, item_id bigint, run bigint")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        firsts.append(written(narrow.mapInPandas(_first_pass(ItemIndex(rows), least, one_in), _FOUND), "leaks"))
+    if not firsts:
         return spark.createDataFrame([], f"{ident} bigint, item_id bigint, run bigint")
+    stock = _stock(firsts, stock_contexts)
+    parts = []
+    for rows, first in zip(_blocks(items, item, item_text, index_limit), firsts, strict=True):
+        index = ItemIndex(rows)
+        index.add_stock(stock)
+        parts.append(first.where(F.col("ids").isNotNull()).select("doc", "ids").mapInPandas(_second_pass(index, least, one_in), "doc bigint, item_id bigint, run bigint"))
+    out = functools.reduce(DataFrame.unionByName, parts)
     return out.groupBy(F.col("doc").alias(ident), "item_id").agg(F.max("run").alias("run"))
 
 

@@ -123,3 +123,19 @@ def test_mix_shares_and_caps(spark):
     assert len({r.doc_id for r in got}) == len(got)
     assert mixing.mix(docs.limit(0), targets).count() == 0
     assert mixing.mix(docs.where("source != 'small'"), targets).count() == 0
+
+
+def leaked(spark, docs, items, **kw):
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame(items, "item_id bigint, text string")
+    return {(r.doc_id, r.item_id) for r in leakage.leaks(d, i, **kw).collect()}
+
+
+def test_widely_leaked_item_is_no_stock(spark):
+    """Half of the rows hold one item, in texts of their own and in copies; a lone sentence of it elsewhere is stock."""
+    item = " ".join(sentence(15) for _ in range(4))
+    stock = sentence(28)
+    docs = [(k, f"{sentence(12)} {item} {sentence(12)}") for k in range(30)] + [(100 + k, f"copy {item} end") for k in range(30)]
+    docs += [(200 + k, f"{sentence(12)} {stock} {sentence(12)}") for k in range(20)] + [(300 + k, sentence(40)) for k in range(40)]
+    got = leaked(spark, docs, [(1, item), (2, sentence(30) + " " + stock)])
+    assert got == {(k, 1) for k in [*range(30), *range(100, 130)]}
