@@ -14,7 +14,8 @@ no run (placeholders only merge words, never split them).
 Stock sentences are told by where they stand, not by how often a passage is found.  A sentence of an
 item stands alone in a document if no words of the item precede or follow it there.  It is stock if it
 stands alone in ``stock_contexts`` unrelated surroundings (copies and members of a family are one) and
-no less often than in the item's company, or if the sentence is shared, word for word, by two items.
+no less often than in the item's company; once is enough if items share it, word for word, after or
+before different words (copies of an item and overlapping passages share the words around it too).
 Stock words never count towards a run; a passage longer than its sentence is never stock.
 
 Scale: the items are a stated query set.  Their index is broadcast to the Python workers while it is
@@ -70,6 +71,13 @@ def sentences(text: str | None, tokens: list[str]) -> list[tuple[int, int, int]]
     return out
 
 
+def _shared(places: list[tuple[int, int, int]], tokens: list[list[str]]) -> bool:
+    """Whether a sentence stands after, or before, different words in the items."""
+    before = {tuple(tokens[n][max(0, at - NEAR) : at]) for n, at, _ in places} - {()}
+    after = {tuple(tokens[n][at + size : at + size + NEAR]) for n, at, size in places} - {()}
+    return len(before) > 1 or len(after) > 1
+
+
 class ItemIndex:
     """Items as word ids, their templates, and the words which never count.
 
@@ -97,11 +105,7 @@ class ItemIndex:
         for n, (_, t) in enumerate(items):
             for key, at, size in sentences(t, tokens[n]):
                 self.sentences[key].append((n, at, size))
-        # Sentences shared by two items are stock.
-        for places in self.sentences.values():
-            if places[0][2] >= 8 and len({n for n, _, _ in places}) > 1:
-                for n, at, size in places:
-                    self.never[n][at : at + size] = True
+        self.shared = {key for key, places in self.sentences.items() if places[0][2] >= 8 and _shared(places, tokens)}
         self.starts: dict[int, list[int]] = defaultdict(list)
         for key, places in self.sentences.items():
             n, at, _ = places[0]
@@ -109,8 +113,7 @@ class ItemIndex:
         self.templates: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for n, ids in enumerate(self.words):
             for j, h in enumerate(windows(self.kind[ids]).tolist()):
-                if not self.never[n][j : j + WINDOW].any():
-                    self.templates[h].append((n, j))
+                self.templates[h].append((n, j))
         self.start_mask, self.template_mask = _mask(self.starts), _mask(self.templates)
         self.memo: dict[str, int] = {}
 
@@ -258,7 +261,7 @@ def _first_pass(index: ItemIndex, least: int, one_in: int):
     return run
 
 
-def _stock(firsts: list[DataFrame], stock_contexts: int) -> list[int]:
+def _stock(firsts: list[DataFrame], shared: DataFrame, stock_contexts: int) -> list[int]:
     """Keys of the stock sentences, decided over the documents and all blocks of items.
 
     A place counts as alone only if it does so for every item, of whatever block.
@@ -269,7 +272,8 @@ def _stock(firsts: list[DataFrame], stock_contexts: int) -> list[int]:
     places = places.select("h", "p.alone", "p.context", F.coalesce("family", F.col("p.context").cast("string")).alias("group"))
     counts = places.groupBy("h", "alone").agg(F.least(F.countDistinct("context"), F.countDistinct("group")).alias("n"))
     by_key = counts.groupBy("h").agg(*(F.coalesce(F.max(F.when(F.col("alone") == v, F.col("n"))), F.lit(0)).alias(c) for c, v in (("alone", True), ("beside", False))))
-    stock = by_key.where((F.col("alone") >= stock_contexts) & (F.col("alone") >= F.col("beside")))
+    enough = (F.col("alone") >= stock_contexts) & (F.col("alone") >= F.col("beside"))
+    stock = by_key.join(shared.select("h", F.lit(True).alias("shared")), "h", "left").where(enough | F.col("shared") & (F.col("alone") > 0))
     return [r["h"] for r in stock.select("h").collect()]
 
 
@@ -294,12 +298,14 @@ def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     spark = documents.sparkSession
     members = F.col(family).cast("string") if family in documents.columns else F.lit(None).cast("string")
     narrow = spread(documents.select(F.col(ident).cast("bigint").alias("__id"), F.col(text).alias("__text"), members.alias("__family")).where(F.col("__text").isNotNull()))
-    firsts = []
+    firsts, shared = [], set()
     for rows in _blocks(items, item, item_text, index_limit):
-        firsts.append(written(narrow.mapInPandas(_first_pass(ItemIndex(rows), least, one_in), _FOUND), "leaks"))
+        index = ItemIndex(rows)
+        shared |= index.shared
+        firsts.append(written(narrow.mapInPandas(_first_pass(index, least, one_in), _FOUND), "leaks"))
     if not firsts:
         return spark.createDataFrame([], f"{ident} bigint, item_id bigint, run bigint")
-    stock = _stock(firsts, stock_contexts)
+    stock = _stock(firsts, spark.createDataFrame([(h,) for h in sorted(shared)], "h bigint"), stock_contexts)
     parts = []
     for rows, first in zip(_blocks(items, item, item_text, index_limit), firsts, strict=True):
         index = ItemIndex(rows)

@@ -139,3 +139,12 @@ def test_widely_leaked_item_is_no_stock(spark):
     docs += [(200 + k, f"{sentence(12)} {stock} {sentence(12)}") for k in range(20)] + [(300 + k, sentence(40)) for k in range(40)]
     got = leaked(spark, docs, [(1, item), (2, sentence(30) + " " + stock)])
     assert got == {(k, 1) for k in [*range(30), *range(100, 130)]}
+
+
+def test_copies_of_an_item_and_overlapping_items_leak(spark):
+    """Sentences items share are stock only if the documents hold them elsewhere."""
+    parts = [sentence(16) for _ in range(6)]
+    stock = sentence(28)
+    items = [(1, " ".join(parts[:4])), (2, " ".join(parts[:4]).upper()), (3, " ".join(parts[2:])), (4, sentence(30) + " " + stock), (5, sentence(30) + " " + stock)]
+    docs = [(1, f"{sentence(9)} {parts[0]} {parts[1]} {sentence(9)}"), (2, f"{sentence(9)} {parts[2]} {parts[3]} {sentence(9)}"), (3, f"{sentence(9)} {stock} {sentence(9)}"), (4, f"{sentence(9)} {items[3][1]}")]
+    assert leaked(spark, docs, items) == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (4, 4)}
