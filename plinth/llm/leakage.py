@@ -20,7 +20,9 @@ Stock words never count towards a run; a passage longer than its sentence is nev
 
 Scale: the items are a stated query set.  Their index is broadcast to the Python workers while it is
 below ``index_limit`` windows, else it is split into as many blocks as needed and the documents are
-scanned once per block.  One pass reads the texts; it writes candidates (as word ids) and the places
+scanned once per block.  Which sentences items share is counted over the whole item table; names are
+found within a block, for they only propose diagonals: by the bound above every run is also hit
+without placeholders, so the pairs do not depend on the block size.  One pass reads the texts; it writes candidates (as word ids) and the places
 of items' sentences to the shared folder; stock is decided over all blocks together and applied to the
 candidates alone.  Of the documents nothing but the keys of stock sentences is ever collected, and the
 only shuffles carry places of sentences and (document, item) pairs.
@@ -71,13 +73,6 @@ def sentences(text: str | None, tokens: list[str]) -> list[tuple[int, int, int]]
     return out
 
 
-def _shared(places: list[tuple[int, int, int]], tokens: list[list[str]]) -> bool:
-    """Whether a sentence stands after, or before, different words in the items."""
-    before = {tuple(tokens[n][max(0, at - NEAR) : at]) for n, at, _ in places} - {()}
-    after = {tuple(tokens[n][at + size : at + size + NEAR]) for n, at, size in places} - {()}
-    return len(before) > 1 or len(after) > 1
-
-
 class ItemIndex:
     """Items as word ids, their templates, and the words which never count.
 
@@ -105,7 +100,6 @@ class ItemIndex:
         for n, (_, t) in enumerate(items):
             for key, at, size in sentences(t, tokens[n]):
                 self.sentences[key].append((n, at, size))
-        self.shared = {key for key, places in self.sentences.items() if places[0][2] >= 8 and _shared(places, tokens)}
         self.starts: dict[int, list[int]] = defaultdict(list)
         for key, places in self.sentences.items():
             n, at, _ = places[0]
@@ -261,6 +255,26 @@ def _first_pass(index: ItemIndex, least: int, one_in: int):
     return run
 
 
+def _shared(items: DataFrame, item_text: str) -> DataFrame:
+    """Keys ``h`` of the sentences that stand after, or before, different words in the items of all blocks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for text in b["__text"]:
+                tokens = [fold(w) for w in words(text)]
+                for key, at, size in sentences(text, tokens):
+                    if size >= 8:
+                        before, after = tokens[max(0, at - NEAR) : at], tokens[at + size : at + size + NEAR]
+                        found.append((key, _words_key(before) if before else None, _words_key(after) if after else None))
+            columns = zip(*found, strict=True) if found else [()] * 3
+            yield pd.DataFrame({name: pd.Series(list(c), dtype="Int64") for name, c in zip(("h", "before", "after"), columns, strict=True)})
+
+    each = items.select(F.col(item_text).alias("__text")).where(F.col("__text").isNotNull()).mapInPandas(run, "h bigint, before bigint, after bigint")
+    # More than one value, nulls aside: the least is not the greatest.
+    return each.groupBy("h").agg(*(f(c).alias(f.__name__ + c) for c in ("before", "after") for f in (F.min, F.max))).where("minbefore < maxbefore or minafter < maxafter").select("h")
+
+
 def _stock(firsts: list[DataFrame], shared: DataFrame, stock_contexts: int) -> list[int]:
     """Keys of the stock sentences, decided over the documents and all blocks of items.
 
@@ -298,14 +312,12 @@ def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     spark = documents.sparkSession
     members = F.col(family).cast("string") if family in documents.columns else F.lit(None).cast("string")
     narrow = spread(documents.select(F.col(ident).cast("bigint").alias("__id"), F.col(text).alias("__text"), members.alias("__family")).where(F.col("__text").isNotNull()))
-    firsts, shared = [], set()
+    firsts = []
     for rows in _blocks(items, item, item_text, index_limit):
-        index = ItemIndex(rows)
-        shared |= index.shared
-        firsts.append(written(narrow.mapInPandas(_first_pass(index, least, one_in), _FOUND), "leaks"))
+        firsts.append(written(narrow.mapInPandas(_first_pass(ItemIndex(rows), least, one_in), _FOUND), "leaks"))
     if not firsts:
         return spark.createDataFrame([], f"{ident} bigint, item_id bigint, run bigint")
-    stock = _stock(firsts, spark.createDataFrame([(h,) for h in sorted(shared)], "h bigint"), stock_contexts)
+    stock = _stock(firsts, _shared(items, item_text), stock_contexts)
     parts = []
     for rows, first in zip(_blocks(items, item, item_text, index_limit), firsts, strict=True):
         index = ItemIndex(rows)

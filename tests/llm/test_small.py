@@ -148,3 +148,14 @@ def test_copies_of_an_item_and_overlapping_items_leak(spark):
     items = [(1, " ".join(parts[:4])), (2, " ".join(parts[:4]).upper()), (3, " ".join(parts[2:])), (4, sentence(30) + " " + stock), (5, sentence(30) + " " + stock)]
     docs = [(1, f"{sentence(9)} {parts[0]} {parts[1]} {sentence(9)}"), (2, f"{sentence(9)} {parts[2]} {parts[3]} {sentence(9)}"), (3, f"{sentence(9)} {stock} {sentence(9)}"), (4, f"{sentence(9)} {items[3][1]}")]
     assert leaked(spark, docs, items) == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (4, 4)}
+
+
+@pytest.mark.parametrize("limit", [1, 40, 150, 200_000])
+def test_leaks_do_not_depend_on_the_block_size(spark, limit):
+    """Two items share a stock sentence that the documents hold once by itself."""
+    rng = random.Random(11)
+    made = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)).capitalize() + "."
+    stock = made(28)
+    items = [(k, " ".join(made(14) for _ in range(3)) + (" " + stock if k in (0, 7) else "")) for k in range(8)]
+    docs = [(k, f"{made(9)} {items[k][1]} {made(9)}") for k in range(1, 7)] + [(20, f"{made(9)} {stock} {made(9)}"), (21, f"{made(9)} {items[0][1]}")]
+    assert leaked(spark, docs, items, index_limit=limit) == {*((k, k) for k in range(1, 7)), (21, 0)}
