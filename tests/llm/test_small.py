@@ -159,3 +159,19 @@ def test_leaks_do_not_depend_on_the_block_size(spark, limit):
     items = [(k, " ".join(made(14) for _ in range(3)) + (" " + stock if k in (0, 7) else "")) for k in range(8)]
     docs = [(k, f"{made(9)} {items[k][1]} {made(9)}") for k in range(1, 7)] + [(20, f"{made(9)} {stock} {made(9)}"), (21, f"{made(9)} {items[0][1]}")]
     assert leaked(spark, docs, items, index_limit=limit) == {*((k, k) for k in range(1, 7)), (21, 0)}
+
+
+def test_numerals_of_any_length_do_not_matter():
+    """Sentences, 20-word runs and 40-character runs that differ in their numbers alone."""
+    own = [" ".join(RNG.choice(WORDS) for _ in range(9)) for _ in range(3)]
+    numbers = ["9", "10", "492", "1.5", "2", "1,000,000", "12:30", "3"]
+    text = " ".join(f"At step {n} {s}." for n in numbers for s in own)
+    size = lambda t: len(re.findall(r"\w", t))
+    first = " ".join(f"At step 9 {s}." for s in own)
+    assert repetition.share(text) == pytest.approx(1 - size(first) / size(text), abs=1e-9)
+    words = [RNG.choice(WORDS) for _ in range(20)]
+    run = lambda n: " ".join([*words[:10], n, *words[10:]])
+    assert repetition.share(f"uno {run('7')} due {run('1234')} tre") == pytest.approx(size(run("1234")) / size(f"uno {run('7')} due {run('1234')} tre"))
+    japanese = "".join(chr(0x4E00 + RNG.randrange(3000)) for _ in range(45))
+    assert repetition.share(f"一{japanese[:20]}9{japanese[20:]}二{japanese[:20]}10{japanese[20:]}") == pytest.approx(47 / 95)
+    assert repetition.share("776 mm " * 100) > 0.7
