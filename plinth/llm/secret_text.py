@@ -92,7 +92,12 @@ _UPPER_ID = re.compile(r"^[A-Z0-9]{16,24}$")
 _MIXED = re.compile(r"^[A-Za-z0-9+/_.~\-]{18,}={0,2}$")
 _URL = re.compile(r"(?i)\b[a-z][a-z0-9+.\-]{1,20}://[^\s:/@'\"`<>]*:(?P<a>[^\s@/'\"`<>]+)@[\w.\-]+|[?&](?:sig|signature|token|access_token|auth|key|apikey|api_key|secret|password|pwd|pass|x-amz-signature)=(?P<b>[\w%+/.~\-=]{8,})")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_PEM_END = re.compile(r"-----END [A-Z0-9 ]+-----")
+_PEM_BEGIN = re.compile(r"-----BEGIN(?: (?P<label>[A-Z0-9 ]+)-----)?")
+_PEM_BREAK = re.compile(r"\\[rn]|\r?\n")
+#: Quotes, comment signs and operators around the lines of a block; then a line of any kind, and one of base64.
+_PEM_AROUND = " \t\r\"'`#/*;<>|+.,()\\-"
+_PEM_LINE = re.compile(r"(?:[A-Za-z0-9+/=_\-]+(?: +[A-Za-z0-9+/=]{16,})*|[A-Z][A-Za-z\-]+: [^\"'`]*)?")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=]{16,}(?: +[A-Za-z0-9+/=]+)*")
 _TOKENS = re.compile(r"[A-Za-z0-9+/_.~\-]{16,}={0,2}")
 _LONE = re.compile(r"^\s*(?:[+.&]\s*|\|\|\s*)?[rbuRBU]?([\"'`])(?P<v>(?:(?!\1).)+)\1\s*[;),+\\\]}]*\s*$")
 _AFTER = re.compile(
@@ -171,6 +176,38 @@ def _close(rest: str, quote: str) -> int:
         k += 1
 
 
+def _block(text: str, begin: re.Match, line_end: int) -> int:
+    """End of the key or certificate block that begins here; the end of its marker if none does.
+
+    A block is closed by the END of its own label with nothing but its lines between; a block cut off
+    goes on for its base64 lines.
+    """
+    if not begin["label"]:
+        return begin.end()
+    close = text.find(f"-----END {begin['label']}-----", begin.end())
+    if close >= 0 and text.find("-----BEGIN", begin.end(), close) < 0 and all(_PEM_LINE.fullmatch(x.strip(_PEM_AROUND)) for x in _PEM_BREAK.split(text[begin.end() : close])):
+        return close + len(begin["label"]) + 14
+    stop = begin.end()
+    rest = re.sub(r"\\[rn]", "  ", text[stop:line_end])
+    if _PEM_BODY.match(rest.strip(_PEM_AROUND)):
+        stop += re.match(r"[^A-Za-z0-9]*[A-Za-z0-9+/=]+(?: +[A-Za-z0-9+/=]+)*", rest).end()
+        if stop < line_end and text[stop:line_end].strip(_PEM_AROUND):
+            return stop
+    elif ")" in rest or rest.strip(_PEM_AROUND):
+        return stop
+    at = line_end + 1
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = re.sub(r"\\[rn]", " ", text[at:end]).strip(_PEM_AROUND)
+        if _PEM_BODY.fullmatch(line) or (end == len(text) and re.fullmatch(r"[A-Za-z0-9+/=]+", line)):
+            stop = end
+        elif line and not re.fullmatch(r"[A-Z][A-Za-z\-]+: .*", line):
+            break
+        at = end + 1
+    return stop
+
+
 def literals(text: str, location: str | None) -> list[Literal]:
     """All literals of a text that may be credentials, in order; at most one per place.
 
@@ -191,20 +228,25 @@ def literals(text: str, location: str | None) -> list[Literal]:
             continue
         last = k
         line, base = lines[k], offsets[k]
+        block = (base, base)
         if "-----BEGIN" in line:
-            pem = _PEM.search(line)
-            end = _PEM_END.search(text, base + line.index("-----BEGIN"))
-            stop = end.end() if end else len(text)
-            if pem and (not end or re.search(r"[A-Za-z0-9+/=]{16}", text[base + pem.end() : stop])):
-                out.append(Literal(text[base + pem.start() : stop], k + 1, base + pem.start(), stop, "private key", True, ()))
-            skip_to = stop
-            continue
+            begin = _PEM_BEGIN.search(text, base)
+            pem = _PEM.match(text, begin.start())
+            stop = _block(text, begin, base + len(line))
+            block = (begin.start(), stop)
+            cut_off = pem and not text[pem.end() :].strip()
+            if pem and (cut_off or stop == len(text) > pem.end() or re.search(r"[A-Za-z0-9+/=]{16}", text[pem.end() : stop])):
+                stop = len(text) if cut_off else stop
+                out.append(Literal(text[begin.start() : stop], k + 1, begin.start(), stop, "private key", True, ()))
+            if stop > base + len(line):
+                skip_to = stop
+                continue
         for value, start, end, kind, form, pieces in _in_line(line, plain_type, lines, k):
             parts = tuple((offsets[k + d] + a, offsets[k + d] + b) for d, a, b in pieces)
             s, e, at = base + start, base + end, k
             if start < 0:  # the value begins on a later line
                 (s, e), parts, at = parts[0], parts[1:], k + pieces[0][0]
-            if s < skip_to:
+            if s < skip_to or (s < block[1] and e > block[0]):
                 continue
             out.append(Literal(value, at + 1, s, e, kind, form, parts))
             skip_to = max(skip_to, parts[-1][1] if parts else e)
