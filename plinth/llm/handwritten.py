@@ -80,7 +80,8 @@ def change_evidence(changes: DataFrame) -> DataFrame:
 _GENERATED_NOTE = re.compile(rb"(?i)@generated\b|code generated by|auto-?generated (file|by|from|code)|<auto-?generated|automatically (generated|produced|created)|automatisch (erzeugt|generiert)|this file (is|was) (auto(matically)?[ -]?)?(generated|produced)|g[e\xc3][\xa9n]?n[e\xc3]\xa9?r[e\xc3]\xa9? automatiquement|generado autom|machine[- ]generated|generated (by|from|with) [^\n]{0,60}(do not|don't|edit)|do not (edit|modify)[^\n]{0,40}(generated|by hand)")
 _VENDORED_NOTE = re.compile(rb"(?i)bundled copy of|vendored from|vendored copy of [^\n]{0,60}(release|version|v\d)|upstream sources? imported|imported (unmodified )?from [^\n]{0,60}(release|upstream|version)|copied (verbatim |unmodified )?from [^\n]{0,60}(release|upstream|project|version)")
 _NUMBERS = re.compile(rb"^[\s0-9a-fA-FxX,.+\-;{}\[\]()'\"\\uULl]*$")
-_HINTS = (b"generat", b"vendored", b"bundled", b"upstream", b"automati", b"copied", b"imported", b"modify", b"edit")
+#: Every alternative of the two patterns holds one of these.
+_HINTS = (b"generat", b"generad", b"produced", b"vendored", b"bundled", b"upstream", b"automati", b"copied", b"imported", b"modify", b"edit")
 _CODE_LINE = 400
 
 

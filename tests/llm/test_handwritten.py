@@ -58,3 +58,13 @@ def test_trees_siblings_and_edges(spark):
     assert len(got) == 20
     assert H.labels(df.limit(0), diffs.limit(0)).count() == 0
     assert H.touched(df.drop("label"), H.labels(df, diffs)).where("path = 'yarn.lock'").count() == 1
+
+
+def test_every_notice_passes_the_hints():
+    generated = ["@generated", "Code generated by x", "auto-generated file", "<autogenerated", "automatically produced", "automatically created", "Automatisch erzeugt", "automatisch generiert", "This file was produced by x", "this file is generated"]
+    generated += ["Généré automatiquement", "généré automatiquement", "genere automatiquement", "Generado automáticamente por x, no modificar", "generado automaticamente", "machine-generated", "generated by x; don't touch", "do not edit by hand", "Do not modify, generated"]
+    vendored = ["bundled copy of x", "vendored from x", "vendored copy of x v1", "upstream sources imported", "imported from x 1.2 release", "imported unmodified from upstream", "copied verbatim from project x"]
+    for kind, pattern, notes in ((0, H._GENERATED_NOTE, generated), (1, H._VENDORED_NOTE, vendored)):
+        for note in notes:
+            assert H.content_flags(f"// {note}\nint a;".encode())[kind] == (pattern.search(note.encode()) is not None), note
+            assert pattern.search(note.lower().encode()), note
