@@ -1,7 +1,8 @@
 """Repetition inside a single document (problem 9).
 
 Score: the share of a document's text that lies in later copies of a line, a sentence or a run of at
-least 20 words (40 characters where the script writes no blanks) that stood earlier in it.  Case,
+least 20 words (40 characters where the script writes no blanks) that stood earlier in it.
+Sentences are read within a line and also across the single line breaks of a paragraph.  Case,
 spacing and punctuation are removed first; numerals of any length, inner separators included, are one
 and the same word there, and weigh as many characters as they have digits.  Everything is per document: one map stage, no
 shuffle, and the memory of a document is a few numbers per word, whatever its length.
@@ -113,10 +114,28 @@ def share(text: str | None) -> float:
     words: list[bytes] = []
     seen: set[bytes] = set()
     spans: list[tuple[int, int]] = []
-    for line in raw.split(b"\n"):
+    # Sentences of paragraphs are kept apart: those within a line are among them.
+    wrapped: set[bytes] = set()
+    paragraph: list[bytes] = []
+    begun = 0
+    for line in [*raw.split(b"\n"), b""]:
         ws = line.translate(_TABLE).split()
         if not ws:
+            if paragraph:
+                at = begun
+                for part in _SENTENCE.split(b"\n".join(paragraph)):
+                    ps = part.translate(_TABLE).split()
+                    k = b"".join(ps)
+                    if len(k) >= LEAST:
+                        if k in wrapped:
+                            spans.append((at, at + len(ps)))
+                        wrapped.add(k)
+                    at += len(ps)
+                paragraph = []
             continue
+        if not paragraph:
+            begun = len(words)
+        paragraph.append(line)
         key = b"".join(ws)
         start = len(words)
         words += ws

@@ -175,3 +175,13 @@ def test_numerals_of_any_length_do_not_matter():
     japanese = "".join(chr(0x4E00 + RNG.randrange(3000)) for _ in range(45))
     assert repetition.share(f"一{japanese[:20]}9{japanese[20:]}二{japanese[:20]}10{japanese[20:]}") == pytest.approx(47 / 95)
     assert repetition.share("776 mm " * 100) > 0.7
+
+
+def test_sentences_across_single_line_breaks():
+    own = [RNG.choice(WORDS) for _ in range(14)]
+    other = [RNG.choice(WORDS) for _ in range(14)]
+    wrap = lambda ws, k: "\n".join(" ".join(ws[i : i + k]) for i in range(0, len(ws), k)) + "."
+    text = f"{wrap(own, 5)} Uno {wrap(other, 4)}\n\nDue tre. {wrap(own, 6)} Quattro.\n"
+    size = len(re.findall(r"\w", text))
+    assert repetition.share(text) == pytest.approx(sum(map(len, own)) / size)
+    assert repetition.share(f"{wrap(own, 5)} Uno {wrap(other, 4)}") == 0.0
