@@ -7,19 +7,13 @@ spacing and punctuation are removed first; numerals of any length, inner separat
 and the same word there, and weigh as many characters as they have digits.  Everything is per document: one map stage, no
 shuffle, and the memory of a document is a few numbers per word, whatever its length.
 
-Decision: risk-controlled thresholds.  Labelled holdouts (documents made from invented words, with a
-known share of copied text, on both sides of the wanted limit) are scored by the same code.  For each
-stratum (words, characters; short, long) the cutoffs of a grid are tested from the strictest down
-(fixed sequence): a cutoff is kept while the exact binomial (Clopper-Pearson) upper bound of its
-false-rejection rate is at most ``alpha`` at level ``delta`` divided by the number of strata
-(Bonferroni), so with probability ``1 - delta`` no stratum rejects more than ``alpha`` of the
-documents whose true share is within the limit.
+Decision: risk-controlled thresholds.  The share of a document counts as repetitive if it is above its
+stratum's cutoff (words or characters, short or long); ``repetition_risk`` selects the cutoffs on
+labelled holdouts, by exact binomial bounds on the rate of false rejections.
 """
 
 from __future__ import annotations
 
-import math
-import random
 import re
 from collections.abc import Iterator
 
@@ -178,75 +172,14 @@ def stratum(text: str | None) -> str:
     return ("characters" if wide(t) else "words") + ("-short" if len(t) < SHORT else "-long")
 
 
-# ---------------------------------------------------------------- thresholds
-
-
-def binomial_upper(k: int, n: int, level: float) -> float:
-    """Clopper-Pearson: the largest rate under which at most ``k`` of ``n`` has probability ``level`` or more."""
-    if n == 0 or k >= n:
-        return 1.0
-    lo, hi = k / n, 1.0
-    for _ in range(60):
-        p = (lo + hi) / 2
-        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)) if p < 1 else 0.0
-        lo, hi = (p, hi) if tail > level else (lo, p)
-    return hi
-
-
-def _document(rng: random.Random, chars: bool, size: int, wanted: float) -> tuple[str, float]:
-    """A text of invented words and the true share of it that is copied (by construction)."""
-
-    def sentence() -> str:
-        if chars:
-            return "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randint(12, 40))) + "。"
-        return " ".join("".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(6, 24))).capitalize() + ". "
-
-    own, n_own = [], 0
-    while n_own < size * (1 - wanted):
-        s = sentence()
-        own.append(s)
-        n_own += len(re.sub(r"[\s.。]", "", s))
-    copies, n_copies = [], 0
-    while own and n_copies < size * wanted:
-        s = rng.choice(own)
-        n_copies += len(re.sub(r"[\s.。]", "", s))
-        copies.append(s.upper() if rng.random() < 0.3 else s)
-    tail = copies[:]
-    rng.shuffle(tail)
-    lines = own + tail
-    text = "".join(s + ("\n" if rng.random() < 0.3 else "") for s in lines)
-    return text, n_copies / max(1, n_own + n_copies)
-
-
-def cutoffs(limit: float = 0.3, alpha: float = 0.02, delta: float = 0.05, per_stratum: int = 400, seed: int = 7) -> dict[str, float]:
-    """For each stratum the smallest score above which a document is rejected, under the risk bound."""
-    rng = random.Random(seed)
-    strata = {"words-short": (False, 400), "words-long": (False, 2500), "characters-short": (True, 300), "characters-long": (True, 1500)}
-    out = {}
-    grid = [round(limit + 0.2 - 0.005 * k, 4) for k in range(60)]
-    for name, (chars, size) in strata.items():
-        scores = []
-        while len(scores) < per_stratum:
-            text, truth = _document(rng, chars, size, rng.uniform(0, limit))
-            if truth <= limit:  # the documents that must not be rejected
-                scores.append(share(text))
-        chosen = grid[0]
-        for c in grid:
-            if c < limit:
-                break  # below the limit itself nothing is to be gained
-            if binomial_upper(sum(s > c for s in scores), len(scores), delta / len(strata)) > alpha:
-                break
-            chosen = c
-        out[name] = chosen
-    return out
-
-
 def repetition(documents: DataFrame, ident: str = "doc_id", text: str = "text", limit: float = 0.3) -> DataFrame:
     """Per document ``ident, share, stratum, repetitive``.
 
     Null, empty and blank texts have share 0; very long texts are read whole; copies of a document
     are each scored; an empty table gives an empty result; other columns are not read.
     """
+    from plinth.llm.repetition_risk import cutoffs
+
     bounds = cutoffs(limit)
     kind = documents.schema[ident].dataType.simpleString()
 

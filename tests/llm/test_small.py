@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 
 from plinth.llm import frequent, leakage, mixing, repetition
+from plinth.llm import repetition_risk as risk
 
 RNG = random.Random(3)
 WORDS = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
@@ -62,10 +64,33 @@ def test_repetition_edges(spark):
 
 
 def test_thresholds_hold_their_risk():
-    cut = repetition.cutoffs(per_stratum=300)
-    assert all(0.3 <= c <= 0.36 for c in cut.values())
-    assert repetition.binomial_upper(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), rel=1e-6)
-    assert repetition.binomial_upper(100, 100, 0.05) == 1.0
+    """The stored cutoffs are the fitted ones; they differ, keep the risk on new documents, and fall on either side of the limit."""
+    stored = json.loads(risk.STORE.read_text())
+    name = "words-short"
+    pairs = risk.holdout(name, 1200, 7)
+    cutoff, power = risk.select(pairs, 0.3, 0.02, 0.05 / 4)
+    assert stored[name] == {"cutoff": cutoff, "power": round(power, 4)}
+    assert len({v["cutoff"] for v in stored.values()}) > 1 and all(v["power"] > 0.8 for v in stored.values())
+    for other in stored:
+        fresh = risk.holdout(other, 300, 99)
+        within = [s for t, s in fresh if t <= 0.3]
+        assert sum(s > stored[other]["cutoff"] for s in within) <= 0.04 * len(within)
+    # The bound decides: scores above their labels push the cutoff up, scores below pull it down.
+    high, low = ([(t, t + d) for t, _ in pairs] for d in (0.05, -0.05))
+    assert risk.select(high, 0.3, 0.02, 0.0125)[0] > 0.33 and risk.select(low, 0.3, 0.02, 0.0125)[0] < 0.26
+    assert risk.select([(0.1, 1.1)] * 500, 0.3, 0.02, 0.0125) == (1.0, 0.0)
+    few = risk.select(pairs[:100], 0.3, 0.02, 0.0125)[0]
+    assert few == 1.0  # too few documents to prove anything
+    assert risk.binomial_upper(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), rel=1e-6)
+    assert risk.binomial_upper(100, 100, 0.05) == 1.0
+
+
+def test_labels_and_scores_agree_on_clean_documents():
+    rng = random.Random(5)
+    for name, (chars, size) in risk.STRATA.items():
+        for _ in range(20):
+            text = risk.document(rng, chars, size)
+            assert repetition.share(text) == pytest.approx(risk.exact_share(text, chars), abs=0.03), name
 
 
 def test_longest_run_against_brute_force():
