@@ -12,8 +12,7 @@ marginals.
 Scale: files send their message to their directory in one hash aggregation (map-side combined: a
 directory with a third of all files is one row per map task).  What remains is the table of
 directories, passed level by level with joins on (repo, directory); lineage is cut at each level.
-Paths deeper than ``max_depth`` directories hang on their ancestor of that depth.  Nothing is
-collected but the largest depth.
+Levels are as many as the deepest path has.  Nothing is collected but the largest depth.
 """
 
 from __future__ import annotations
@@ -77,8 +76,11 @@ def change_evidence(changes: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- content
 
-_GENERATED_NOTE = re.compile(rb"(?i)@generated\b|code generated by|auto-?generated (file|by|from|code)|<auto-?generated|automatically (generated|produced|created)|automatisch (erzeugt|generiert)|this file (is|was) (auto(matically)?[ -]?)?(generated|produced)|g[e\xc3][\xa9n]?n[e\xc3]\xa9?r[e\xc3]\xa9? automatiquement|generado autom|machine[- ]generated|generated (by|from|with) [^\n]{0,60}(do not|don't|edit)|do not (edit|modify)[^\n]{0,40}(generated|by hand)")
-_VENDORED_NOTE = re.compile(rb"(?i)bundled copy of|vendored from|vendored copy of [^\n]{0,60}(release|version|v\d)|upstream sources? imported|imported (unmodified )?from [^\n]{0,60}(release|upstream|version)|copied (verbatim |unmodified )?from [^\n]{0,60}(release|upstream|project|version)")
+_GENERATED_NOTE = re.compile(rb"(?i)@generated\b|code generated by|auto-?generated (file|by|from|code)|<auto-?generated|automatically (generated|produced|created)|automatisch (erzeugt|generiert)|this file (is|was) (auto(matically)?[ -]?)?(generated|produced)|g[e\xc3][\xa9n]?n[e\xc3]\xa9?r[e\xc3]\xa9? automatiquement|generado autom|machine[- ]generated")
+_VENDORED_NOTE = re.compile(rb"(?i)bundled copy of|vendored from|upstream sources? imported")
+#: Notices of two parts in one line, however far apart: the first place of the first part, then the second part anywhere after it.
+_GENERATED_PARTS = ((re.compile(rb"(?i)generated (by|from|with) "), re.compile(rb"(?i)do not|don't|edit")), (re.compile(rb"(?i)do not (edit|modify)"), re.compile(rb"(?i)generated|by hand")))
+_VENDORED_PARTS = ((re.compile(rb"(?i)vendored copy of "), re.compile(rb"(?i)release|version|v\d")), (re.compile(rb"(?i)imported (unmodified )?from "), re.compile(rb"(?i)release|upstream|version")), (re.compile(rb"(?i)copied (verbatim |unmodified )?from "), re.compile(rb"(?i)release|upstream|project|version")))
 _NUMBERS = re.compile(rb"^[\s0-9a-fA-FxX,.+\-;{}\[\]()'\"\\uULl]*$")
 #: Every alternative of the two patterns holds one of these.
 _HINTS = (b"generat", b"generad", b"produced", b"vendored", b"bundled", b"upstream", b"automati", b"copied", b"imported", b"modify", b"edit")
@@ -92,6 +94,20 @@ def _bytes(content: bytes) -> bytes:
     return content
 
 
+def _noted(text: bytes, pattern: re.Pattern, parts) -> bool:
+    if pattern.search(text):
+        return True
+    for first, second in parts:
+        at = 0
+        while m := first.search(text, at):
+            end = text.find(b"\n", m.end())
+            end = len(text) if end < 0 else end
+            if second.search(text, m.end(), end):
+                return True
+            at = end
+    return False
+
+
 def content_flags(content: bytes | None, web: bool = True) -> tuple[bool, bool, bool, bool]:
     """(generated, vendored, minified, numbers) as the content shows it; all false for none."""
     if not content:
@@ -99,8 +115,8 @@ def content_flags(content: bytes | None, web: bool = True) -> tuple[bool, bool,
     text = _bytes(content)
     low = text.lower()
     hinted = any(h in low for h in _HINTS)
-    generated = hinted and _GENERATED_NOTE.search(text) is not None
-    vendored = hinted and _VENDORED_NOTE.search(text) is not None
+    generated = hinted and _noted(text, _GENERATED_NOTE, _GENERATED_PARTS)
+    vendored = hinted and _noted(text, _VENDORED_NOTE, _VENDORED_PARTS)
     lines = [x for x in text.split(b"\n") if x.strip()]
     longest = max(map(len, lines), default=0)
     minified = False
@@ -186,7 +202,7 @@ def _sum_arrays(column: str, out: str) -> Column:
 
 
 
-def labels(changes: DataFrame, diffs: DataFrame | None = None, max_depth: int = 48) -> DataFrame:
+def labels(changes: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
     """``repo, path, label, certainty`` for every file of ``changes``.
 
     * Rows with a null path belong to no file; a null repo is a repository of its own (``''``).
@@ -201,7 +217,7 @@ def labels(changes: DataFrame, diffs: DataFrame | None = None, max_depth: int =
         seen = files.withColumn("__known", F.lit(True)).unionByName(content_evidence(diffs).withColumn("__known", F.lit(False)))
         files = seen.groupBy("repo", "path").agg(*(F.sum(f"l{k}").alias(f"l{k}") for k in range(5)), F.max("__known").alias("__known")).where("__known").drop("__known")
     parts = F.split("path", "/")
-    depth = F.least(F.size(parts) - 1, F.lit(max_depth))
+    depth = F.size(parts) - 1
     names = _name_evidence(F.col("path"))
     files = files.select("repo", "path", F.array_join(F.slice(parts, F.lit(1), depth), "/").alias("dir"), F.array(*(F.col(f"l{k}") + names[k] for k in range(5))).alias("l"))
     # Each message is a column of its own before it is used: an expression used five times would be computed five times.

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,22 @@ def clean_source(col):
     return F.when(c != "", c)
 
 
+def pieces(text: str, pattern: str, long: int = 100_000) -> Iterator[str]:
+    """A text in parts of about ``long`` characters, cut only where the pre-tokenisation pattern cuts, so that
+    the parts have the tokens of the whole; the encoder's own matcher can't take texts of any length."""
+    if len(text) <= long:
+        yield text
+        return
+    start = 0
+    for m in regex.finditer(pattern, text):
+        # Not behind blanks: how they are cut depends on what follows.
+        if m.end() - start >= long and not text[m.end() - 1].isspace():
+            yield text[start : m.end()]
+            start = m.end()
+    if start < len(text):
+        yield text[start:]
+
+
 def token_counts(df: DataFrame, text: str, vocabulary: str, pattern: str, keep: list[str]) -> DataFrame:
     """``keep`` and ``tokens``: the size of ``text`` in tokens of a public byte-level BPE vocabulary.
 
@@ -53,7 +70,7 @@ def token_counts(df: DataFrame, text: str, vocabulary: str, pattern: str, keep:
         enc = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             out = b[keep].copy()
-            out["tokens"] = [0 if t is None else sum(len(enc.encode_ordinary(t[i : i + 100_000])) for i in range(0, len(t), 100_000)) for t in b["__text"]]
+            out["tokens"] = [0 if t is None else sum(len(enc.encode_ordinary(piece)) for piece in pieces(t, pattern)) for t in b["__text"]]
             yield out
 
     fields = [df.schema[k] for k in keep] + [T.StructField("tokens", T.LongType())]
@@ -68,8 +85,8 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", blocks_per_s
     the driver, checked to hold at most 10,000 rows).
 
     * Documents of a null or unlisted source, and those without tokens, are not used.
-    * If a source with a positive share has no document at all, nothing can be mixed in the wanted
-      shares and the result is empty.
+    * A source with a positive share but no document is left out and the others keep their proportions;
+      whoever compares the result with ``targets`` sees it (``p8_shares`` has a row of zeros for it).
     * Shares are scaled to sum to 1; sources with share 0 or null are not used; a null or
       non-positive ``max_repeats`` means 1.
     * Copies of the same text under two ids are two documents.
@@ -79,12 +96,13 @@ def mix(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", blocks_per_s
     if len(conf) > 10_000:
         raise ValueError("target table too large")
     wanted = {r["source"]: (float(r["target_share"]), max(1, int(r["max_repeats"] or 1))) for r in conf if r["source"] and r["target_share"] and r["target_share"] > 0}
-    total_share = sum(s for s, _ in wanted.values())
     empty = docs.select(ident, "source", "tokens", F.lit(0).cast("bigint").alias("copies")).limit(0)
     usable = docs.where(F.col("source").isin(list(wanted)) & (F.col("tokens") > 0)) if wanted else docs.limit(0)
     sums = {r["source"]: (r["t"], r["n"]) for r in usable.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
-    if not wanted or set(sums) != set(wanted):
+    wanted = {s: x for s, x in wanted.items() if s in sums}
+    if not wanted:
         return empty
+    total_share = sum(s for s, _ in wanted.values())
     shares = {s: (w / total_share, cap) for s, (w, cap) in sorted(wanted.items())}
     # The largest total every source can serve; the scarcest block supply gets `blocks_per_share` blocks.
     size = min(sums[s][0] * cap / w for s, (w, cap) in shares.items())

@@ -80,7 +80,7 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """The shares really reached, one row per source of ``mix_targets``."""
+    """The shares really reached, one row per source of ``mix_targets``; a source without documents has zeros."""
     counted, mixed = _mixed(spark, sf)
     have = counted.groupBy("source").agg(F.sum("tokens").alias("available"))
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("most_copies"), F.count(F.lit(1)).alias("documents"))

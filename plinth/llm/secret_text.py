@@ -260,16 +260,17 @@ def _continued(value: str, lines: list[str], k: int, tail: str) -> tuple[str, li
     if t.endswith((";", "}", "]")) or (t.endswith(")") and not t.endswith("()")):
         return value, pieces
     d = 1
-    while k + d < len(lines) and d <= 50:
+    values = [value]
+    while k + d < len(lines):
         m = _LONE.match(lines[k + d])
         if not m:
             break
         pieces.append((d, m.start("v"), m.end("v")))
-        value += m["v"]
+        values.append(m["v"])
         if lines[k + d].rstrip().endswith((";", ")", "}", "]")):
             break
         d += 1
-    return value, pieces
+    return "".join(values), pieces
 
 
 def _in_line(line: str, plain_type: bool, lines: list[str], k: int) -> list:

@@ -10,7 +10,8 @@ _WORD = re.compile(r"\w+")
 _HYPHEN = re.compile("(?<=\\w)[-\u2010-\u2015\u2212\ufe63\uff0d]\\s*\\n?\\s*(?=\\w)")
 _HYPHEN_ASCII = re.compile(r"(?<=\w)-\s*(?=\w)")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-_TAG = re.compile(r"<[/a-zA-Z][^<>]{0,200}>")
+#: A tag of any length: a name and attributes, not whatever stands between two signs of comparison.
+_TAG = re.compile(r"</?[a-zA-Z][\w:.\-]*(?:\s+[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[^\s\"'<>=`]+))?)*\s*/?>")
 #: Cyrillic and Greek letters that look like Latin ones.
 _LOOKALIKE = str.maketrans("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0458\u0455\u03bf\u03b1\u03b9", "aeopcyxijsoai")
 

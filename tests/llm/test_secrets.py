@@ -71,6 +71,13 @@ def test_continued_and_blocks():
     assert g.line == 2
 
 
+def test_a_literal_of_many_lines_is_one():
+    piece = "Ab3dE5fG7hJ9kL1m"
+    text = "token = (\"" + piece + '"\n' + "".join(f'    "{piece}"\n' for _ in range(180)) + ")\nx = 1\n"
+    (g,) = S.literals(text, "a.py")
+    assert g.value == piece * 181 and len(g.parts) == 180
+
+
 def test_decode_round_trip():
     for raw in ("é1".encode("utf-16"), b"\xef\xbb\xbfabc", "ö".encode("latin-1"), b"", b"\xff\xfea", "日本".encode()):
         text, codec, mark = S.decode(raw)

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from plinth.llm import frequent, leakage, mixing, repetition
+from plinth.llm import frequent, leakage, mixing, repetition, tokenizers, words
 from plinth.llm import repetition_risk as risk
 
 RNG = random.Random(3)
@@ -147,7 +147,27 @@ def test_mix_shares_and_caps(spark):
     assert max(r.copies for r in got if r.source == "big") == 1
     assert len({r.doc_id for r in got}) == len(got)
     assert mixing.mix(docs.limit(0), targets).count() == 0
-    assert mixing.mix(docs.where("source != 'small'"), targets).count() == 0
+    # A source without documents is left out, the others keep their proportions.
+    rest = mixing.mix(docs.where("source != 'small'"), targets).collect()
+    used = {s: sum(r.tokens * r.copies for r in rest if r.source == s) for s in ("big", "mid", "small")}
+    assert used["small"] == 0 and used["big"] / (used["big"] + used["mid"]) == pytest.approx(0.5 / 0.8, abs=0.02)
+    assert mixing.mix(docs.where("source = 'other'"), targets).count() == 0
+
+
+def test_tokens_of_long_texts_are_those_of_the_whole():
+    import base64
+
+    import tiktoken
+
+    rng = random.Random(8)
+    with open(tokenizers.vocabulary(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("public", pat_str=tokenizers.pattern(), mergeable_ranks=ranks, special_tokens={})
+    for _ in range(20):
+        text = "".join(rng.choice(["word", "s", " ", "  ", "\n", "'ll", "12", "é", "日本", ".", "-", "\t", "x"]) for _ in range(3000))
+        for long in (1, 7, 100):
+            parts = list(mixing.pieces(text, tokenizers.pattern(), long))
+            assert "".join(parts) == text and sum(len(enc.encode_ordinary(p)) for p in parts) == len(enc.encode_ordinary(text))
 
 
 def leaked(spark, docs, items, **kw):
@@ -202,6 +222,12 @@ def test_numerals_of_any_length_do_not_matter():
     assert repetition.share("776 mm " * 100) > 0.7
 
 
+def test_tags_of_any_length_go_and_comparisons_stay():
+    long = "<a href=\"" + "x" * 500 + "\" title='" + "y" * 300 + "'>"
+    assert words.words(f"one {long}two</a> <br/> three") == ["one", "two", "three"]
+    assert words.words("if a <b, then c and d> e") == ["if", "a", "b", "then", "c", "and", "d", "e"]
+
+
 def test_sentences_across_single_line_breaks():
     own = [RNG.choice(WORDS) for _ in range(14)]
     other = [RNG.choice(WORDS) for _ in range(14)]
