@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SENT:
         return
     root = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="plinth-"), "plinth-package.zip")
+    folder = tempfile.mkdtemp(prefix="plinth-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = os.path.join(folder, "plinth-package.zip")
     with zipfile.ZipFile(out, "w") as z:
         for p in sorted(root.rglob("*")):
             if p.is_file() and "__pycache__" not in p.parts:

@@ -7,8 +7,9 @@ then hash-partitioned on the key and summed by a second array reduction.  No tas
 rows of a hot key: only one partial per split.
 
 Memory: a split flushes its arrays when its dictionary reaches ``max_slots`` keys (the partials are
-merged downstream, so flushing never changes the result); a reducer holds one slot for each
-distinct key of its partition, and ``partitions`` follows ``spark.sql.shuffle.partitions``.
+merged downstream, so flushing never changes the result); a reducer reads its partition in order of a
+12-bit sub-hash of the key and gives its arrays out at the first end of a sub-hash after ``max_slots``
+keys, so it holds these and 1/4096 of its keys at most.
 """
 
 from __future__ import annotations
@@ -78,13 +79,14 @@ class _Arrays:
         known = np.flatnonzero(np.array([x is not None for x in ids], dtype=bool))
         if not len(known):
             return
-        frame = pd.DataFrame({"c": codes[known], "t": t[known], "i": ids[known]})
-        best = frame.sort_values(["c", "t", "i"], kind="stable").drop_duplicates("c", keep="last" if last else "first")
         acc_t, acc_i = getattr(self, t_name), getattr(self, id_name)
-        for c, tt, i in zip(best["c"].to_numpy(), best["t"].to_numpy(), best["i"].to_numpy(), strict=True):
-            old = acc_i[c]
-            if old is None or ((tt, i) > (acc_t[c], old) if last else (tt, i) < (acc_t[c], old)):
-                acc_t[c], acc_i[c] = tt, i
+        c = codes[known]
+        held = np.unique(c)
+        held = held[np.array([x is not None for x in acc_i[held]], dtype=bool)]
+        # What the slots hold takes part like any other row; the best of each slot is written back.
+        frame = pd.DataFrame({"c": np.concatenate((c, held)), "t": np.concatenate((t[known], acc_t[held])), "i": np.concatenate((ids[known], acc_i[held]))})
+        best = frame.sort_values(["c", "t", "i"], kind="stable").drop_duplicates("c", keep="last" if last else "first")
+        acc_t[best["c"].to_numpy()], acc_i[best["c"].to_numpy()] = best["t"].to_numpy(), best["i"].to_numpy()
 
     def frame(self) -> pd.DataFrame:
         top = len(self.slots)
@@ -119,17 +121,35 @@ def _split(max_slots: int):
     return run
 
 
-def _reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    arrays = _Arrays()
-    for b in batches:
-        if not len(b):
-            continue
-        codes = arrays.codes(_texts(b["key"]))
-        clean = lambda c: np.array(_texts(b[c]), dtype=object)  # noqa: B023, E731
-        arrays.add(codes, *(b[c].to_numpy(np.int64) for c in ("n", "n_values", "total", "largest", "t_first")), clean("first_id"), b["t_last"].to_numpy(np.int64), clean("last_id"))
-    frame = arrays.frame()
-    for start in range(0, len(frame), 50_000):
-        yield frame.iloc[start : start + 50_000]
+def _reduce(max_slots: int):
+    """Sums the blocks of one partition, whose rows come in order of the key's sub-hash; full arrays are given out where a sub-hash ends."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrays, current = _Arrays(), None
+
+        def add(b: pd.DataFrame) -> None:
+            if len(b):
+                clean = lambda c: np.array(_texts(b[c]), dtype=object)
+                arrays.add(arrays.codes(_texts(b["key"])), *(b[c].to_numpy(np.int64) for c in ("n", "n_values", "total", "largest", "t_first")), clean("first_id"), b["t_last"].to_numpy(np.int64), clean("last_id"))
+
+        for b in batches:
+            if not len(b):
+                continue
+            subs = b["sub"].to_numpy()
+            at = 0
+            if len(arrays.slots) >= max_slots:
+                at = int(np.searchsorted(subs, current, side="right"))
+                add(b.iloc[:at])
+                if at < len(b):
+                    yield arrays.frame()
+                    arrays = _Arrays()
+            add(b.iloc[at:])
+            current = subs[-1]
+        frame = arrays.frame()
+        for start in range(0, len(frame), 50_000):
+            yield frame.iloc[start : start + 50_000]
+
+    return run
 
 
 def key_stats(df: DataFrame, key: str, value: str | None = None, when: str | None = None, ident: str | None = None, max_slots: int = 500_000, partitions: int | None = None) -> DataFrame:
@@ -155,7 +175,9 @@ def key_stats(df: DataFrame, key: str, value: str | None = None, when: str | Non
     )
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     partial = narrow.mapInPandas(_split(max_slots), _FIELDS)
-    merged = partial.repartition(n, "key").mapInPandas(_reduce, _FIELDS)
+    # The bits of the hash that choose the partition are not those of the sub-hash.
+    sub = partial.withColumn("sub", F.shiftright(F.xxhash64("key"), 52).cast("int"))
+    merged = sub.repartition(n, "key").sortWithinPartitions("sub").mapInPandas(_reduce(max_slots), _FIELDS)
     at = lambda c, i: F.when(F.col(i).isNotNull(), F.timestamp_micros(F.col(c)).cast("timestamp_ntz"))
     return merged.select(
         "key",

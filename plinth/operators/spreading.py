@@ -12,5 +12,4 @@ def spread(scan: DataFrame, per_core: int = 2) -> DataFrame:
     input of too few splits (one small file) is spread, round-robin, before the expensive stage.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    have = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan if have >= cores else scan.repartition(cores * per_core)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores * per_core)
