@@ -23,7 +23,10 @@ def test_marginals_equal_enumeration(spark):
     rows = [("r", "a/x.js", "A", 300, 0), ("r", "a/b/y.js", "A", 2, 0), ("r", "a/b/z.c", "A", 900, 0), ("r", "t.py", "M", 5, 3)]
     df = spark.createDataFrame(rows, "repo string, path string, mode string, insertions bigint, removals bigint")
     got = {r.path: r for r in H.labels(df).collect()}
-    sizes = {r.path: [r[f"l{k}"] for k in range(5)] for r in H.change_evidence(df).collect()}
+    # The tree worked out level by level gives the same.
+    for r in H.labels(df, whole_tree=0).collect():
+        assert r.label == got[r.path].label and math.isclose(r.certainty, got[r.path].certainty, rel_tol=1e-9)
+    sizes = {r.path: [r[f"l{k}"] for k in range(5)] for r in H.change_evidence(df, H.learned_sizes(df)).collect()}
     names = {r[0]: r[1:] for r in df.select("path", *H._name_evidence(H.F.col("path"))).collect()}
     ev = {p: [a + b for a, b in zip(sizes[p], names[p], strict=True)] for p in sizes}
     dirs = {r[0]: list(r[1]) for r in spark.createDataFrame([("a",), ("a/b",)], "d string").select("d", H._dir_prior(H.F.col("d"))).collect()}
@@ -69,3 +72,25 @@ def test_every_notice_passes_the_hints():
             assert H.content_flags(f"// {note}\nint a;".encode())[kind] == H._noted(note.encode(), pattern, parts), note
             assert H._noted(note.lower().encode(), pattern, parts), note
     assert not any(H.content_flags(b"// generated by x\n// the rest is ours, do not worry\nint a;"))
+
+
+def test_sizes_are_learned_from_settled_changes(spark):
+    rows = [("r", f"src/f{k}.c", "A", 7, 0) for k in range(4000)] + [("r", f"vendor/f{k}.c", "A", 7000, 0) for k in range(4000)] + [("r", f"src/x{k}.c", "M", 2, 2) for k in range(100)]
+    df = spark.createDataFrame(rows, "repo string, path string, mode string, insertions bigint, removals bigint")
+    flagged = spark.createDataFrame([(4, "A", 50_000, 0)] * 4000, "label int, mode string, insertions bigint, removals bigint")
+    got = H.learned_sizes(df, flagged)
+    for label, n in ((0, 7), (3, 7000), (4, 50_000)):
+        assert math.isclose(got[0][label][0], math.log1p(n), abs_tol=0.1) and got[0][label][1] < H.NARROWEST + 0.05
+    assert got[0][1] == H.PRIORS[0][1] and got[2][0][0] < H.PRIORS[2][0][0]
+    assert H.learned_sizes(df.limit(0)) == H.PRIORS
+
+
+def test_trees_are_flushed_between_repositories():
+    import pandas as pd
+
+    rows = [(f"r{k}", d, depth, parent, False, [0.1 * k, 0.0, 0.0, 1.0, 0.0]) for k in range(9) for d, depth, parent in (("", 0, None), ("a", 1, ""), ("b", 1, ""), ("a/c", 2, "a"))]
+    frame = pd.DataFrame(rows, columns=["repo", "dir", "depth", "parent", "silent", "own"])
+    whole = pd.concat(H._trees()(iter([frame])))
+    parts = pd.concat(H._trees(flush=5)(iter([frame.iloc[k : k + 3] for k in range(0, len(frame), 3)])))
+    key = lambda f: {(r, d): [round(x, 12) for x in a] for r, d, a in zip(f["repo"], f["dir"], f["all"], strict=True)}
+    assert key(whole) == key(parts) and len(parts) == 36
