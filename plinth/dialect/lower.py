@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, fields, is_dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from plinth.functions import number as fn
 from plinth.functions import range_ as fr
 from plinth.functions import regex as fe
 from plinth.functions import window as fw
+from plinth.operators.ranks import numbered
 
 
 @dataclass(frozen=True)
@@ -74,6 +76,19 @@ def names_in(tree) -> list[str]:
     return []
 
 
+def all_names(x) -> Iterator[str]:
+    """Every column name, and every text that might be one, anywhere in a statement."""
+    if isinstance(x, str):
+        yield x
+    elif isinstance(x, (tuple, list)):
+        for y in x:
+            yield from all_names(y)
+    elif isinstance(x, dict):
+        yield from all_names(list(x.values()))
+    elif is_dataclass(x):
+        yield from all_names([getattr(x, f.name) for f in fields(x)])
+
+
 def is_plain_aggregate(c) -> bool:
     return c[1] in AGGREGATES and c[3] is None
 
@@ -284,11 +299,18 @@ class Scope:
         if not values:
             return Typed(F.lit(negated), D.BOOL, negated, True)
         out, constant = None, x.constant
+        literals: list = []
         for v in values:
             a, b = self.pair(x, self.lower(v))
+            constant = constant and b.constant
+            if b.value is not None and not isinstance(b.value, (list, tuple)) and a.col is x.col:
+                literals.append(b.col)
+                continue
             one = a.col.eqNullSafe(b.col)  # a null is found by a null
             out = one if out is None else out | one
-            constant = constant and b.constant
+        if literals:
+            among = F.coalesce(x.col.isin(*literals), F.lit(False))
+            out = among if out is None else out | among
         return Typed(~out if negated else out, D.BOOL, None, constant)
 
     def _between(self, tree, low, high, symmetric):
@@ -511,9 +533,10 @@ class Lowering:
     def source(self, q: Select) -> tuple[DataFrame, dict[str, Typed]]:
         if q.table is None:
             return self.spark.range(1).select(), {}
-        df, columns = self.catalog.get(q.table)
+        used = None if q.star else set(all_names(q))
+        df, columns = self.catalog.get(q.table, used)
         for j in q.joins:
-            right, more = self.catalog.get(j.table)
+            right, more = self.catalog.get(j.table, used)
             renamed = {}
             for name in right.columns:
                 if name in df.columns:
@@ -644,7 +667,7 @@ class Lowering:
             if hit is not None:
                 columns[n] = hit
                 continue
-            outs.append(F.first(base[n].col).alias(f"__c{k}"))
+            outs.append(_of_least_row(base, n).alias(f"__c{k}"))
             columns[n] = Typed(F.col(f"__c{k}"), base[n].type)
         grouped = [x.col.alias(name) for _, x, name in keys]
         if not keys:
@@ -663,6 +686,19 @@ class Lowering:
                 if over not in q.windows:
                     raise Diagnostic(f"no window is named {over!r}")
                 over = q.windows[over]
+            if over.partition is None and not over.order and (c[1] in AGGREGATES or c[1] in self.aggregates):
+                # Over the whole table: one aggregated row, joined to all; no task holds the table.
+                x = scope.aggregate(c[1], c[2])
+                one = df.agg(x.col.alias(f"__w{k}"))
+                df = df.crossJoin(F.broadcast(one))
+                given[sign] = Typed(F.col(f"__w{k}"), x.type)
+                continue
+            if over.partition is None and c[1] == "row_number" and not c[2]:
+                order = [(scope.lower(o.expr), o) for o in over.order]
+                by = [self._order(fi.to_seconds(x.col) if x.type == D.INTERVAL else x.col, o) for x, o in order if not x.constant]
+                df = numbered(df, by, f"__w{k}")
+                given[sign] = Typed(F.col(f"__w{k}"), D.INT)
+                continue
             spec = Window.partitionBy(*([scope.lower(over.partition).col] if over.partition is not None else [F.lit(1)]))
             order = [(scope.lower(o.expr), o) for o in over.order]
             name = c[1]
@@ -690,6 +726,13 @@ class Lowering:
         return df, Scope(self, columns, scope.aliases, given)
 
 
+def _of_least_row(base: dict[str, Typed], name: str) -> Column:
+    """The column's value in the group's least row, by the values of all columns that have an order: it does not depend on the order of rows."""
+    whole = [x.col for x in base.values() if x.type.name not in ("Interval", "Row", "Composite", "DiffChanges", "Null", "Range", "Array")]
+    value = base[name].col
+    return F.min_by(F.struct(value.alias("v")), F.struct(*whole))["v"] if whole else F.first(value)
+
+
 def _over(scope: Scope, name: str, args: list[tuple], x: Typed, spec) -> Column:
     """An aggregate over a whole partition; composed ones are built around their windowed parts."""
     xs = [scope.lower(a) for a in args]

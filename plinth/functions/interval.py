@@ -28,7 +28,7 @@ def parse(text: str) -> dict[str, int | float]:
     """Fields of a literal such as ``1 year 2 mons 3 days 04:05:06.789 ago``; each unit once."""
     words = text.split()
     if not words:
-        raise IntervalError("Interval value can't be empty")
+        raise IntervalError("an interval needs at least one field")
     out: dict[str, int | float] = dict.fromkeys(FIELDS, 0) | {"seconds": 0.0}
     seen: set[str] = set()
     ago = False
@@ -58,7 +58,7 @@ def parse(text: str) -> dict[str, int | float]:
         if not re.fullmatch(r"[+-]?\d+(?:\.\d+)?", w):
             raise IntervalError(f"unexpected {w!r} in an interval")
         if k >= len(words):
-            raise IntervalError(f"Missing interval unit after value {w}")
+            raise IntervalError(f"{w} stands without a unit")
         name = words[k]
         k += 1
         if name not in UNITS:

@@ -53,4 +53,18 @@ def float_div(a: Column, b: Column) -> Column:
 
 
 def power(a: Column, b: Column) -> Column:
-    return F.pow(a, b).cast(_L)
+    """Whole powers, exact; a negative exponent or a result beyond 64 bits is an error."""
+    wrong = lambda text: F.raise_error(F.lit(text)).cast(_L)
+    about = F.pow(a.cast("double"), b.cast("double"))
+    # No power of a base but -1, 0 and 1 with an exponent of 64 or more fits.
+    times = F.when((F.abs(a.cast("double")) > 1) & b.between(0, 63) & (F.abs(about) <= 2.0**63), b).otherwise(0).cast("int")
+    product = F.aggregate(F.array_repeat(a, times), F.lit(1).cast(_L), lambda out, x: out * x)
+    trivial = F.when(b == 0, 1).when(b == 1, a).when(a == -1, F.when(b % 2 == 0, 1).otherwise(-1)).otherwise(a).cast(_L)
+    fits = (about >= -(2.0**63)) & (about < 2.0**63)
+    return (
+        F.when(a.isNull() | b.isNull(), F.lit(None).cast(_L))
+        .when(b < 0, wrong("a whole power has no negative exponent"))
+        .when(a.between(-1, 1) | (b <= 1), trivial)
+        .when(fits, product)
+        .otherwise(wrong("a power is beyond 64 bits"))
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,19 +30,33 @@ class Catalog:
     def __init__(self) -> None:
         self.tables: dict[str, tuple[Callable[[], DataFrame] | DataFrame, dict[str, D.Type] | None]] = {}
         self.column_types: dict[str, D.Type] = {}
+        self.providers: dict[str, Callable[..., DataFrame]] = {}
+
+    @staticmethod
+    def _normal(df: DataFrame) -> DataFrame:
+        return df.select(*(df[f"`{f.name}`"].cast(D.normal(f.dataType)).alias(f.name) for f in df.schema))
 
     def put(self, name: str, source) -> None:
+        if not isinstance(source, DataFrame) and "columns" in inspect.signature(source).parameters:
+            self.providers[name.lower()] = source
+        else:
+            self.providers.pop(name.lower(), None)
         self.tables[name.lower()] = (source, None)
         if isinstance(source, DataFrame):
             self.get(name.lower())
 
-    def get(self, name: str) -> tuple[DataFrame, dict[str, D.Type]]:
+    def get(self, name: str, used: set[str] | None = None) -> tuple[DataFrame, dict[str, D.Type]]:
+        """The table and its types.  A provider that takes ``columns`` is told the names a query uses and may leave the others null."""
+        if name in self.tables and used is not None:
+            provider = self.providers.get(name)
+            if provider is not None:
+                types = self.get(name)[1]
+                return self._normal(provider(columns=used & set(types))), types
         if name not in self.tables:
             raise Diagnostic(f"No table is named {name!r}", None, did_you_mean(name, self.tables))
         source, types = self.tables[name]
         if types is None:
-            df = source() if callable(source) and not isinstance(source, DataFrame) else source
-            df = df.select(*(df[f"`{f.name}`"].cast(D.normal(f.dataType)).alias(f.name) for f in df.schema))
+            df = self._normal(source() if callable(source) and not isinstance(source, DataFrame) else source)
             types = {f.name: D.from_spark(f.dataType) for f in df.schema}
             for c, t in types.items():
                 if self.column_types.setdefault(c, t) != t:
@@ -64,7 +79,8 @@ class Session:
     # ---------------------------------------------------------------- registration
 
     def register_table(self, name: str, source) -> Session:
-        """``source``: a DataFrame, or a function that gives one when the table is first used."""
+        """``source``: a DataFrame, or a function that gives one when the table is first used.  If it takes
+        ``columns``, each query passes the set of columns it uses."""
         self.catalog.put(name, source)
         return self
 

@@ -1,13 +1,17 @@
-"""Tables over git repositories: a Python data source, one partition per repository.
+"""Tables over git repositories: a Python data source, partitioned by ranges of commits.
 
 ``spark.dataSource.register(GitSource)``, then ``spark.read.format("git").option("table", "commits")
-.option("repos", "/a;/b").load()``.  Only git's own commands are used; a table's reader runs on the
-executors, repositories in parallel.  Diffs are computed only for tables that need them.
+.option("repos", "/a;/b").load()``.  Only git's own commands are used; their output is read as a stream of
+NUL-terminated fields, by position, so no path or name can be taken for anything else.  The option
+``columns`` names the columns a query uses: others are null, changes are compared only if a column
+needs them, and contents are read (by one ``cat-file`` process a task) only for ``diff_changes``.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import re
 import subprocess
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +42,48 @@ def _git(repo: str, *args: str) -> bytes:
     return done.stdout
 
 
+def _fields(repo: str, *args: str) -> Iterator[str]:
+    """NUL-terminated fields of a command's output, as they come."""
+    with subprocess.Popen(["git", "-C", repo, "-c", "safe.directory=*", *args], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+        rest = b""
+        while chunk := run.stdout.read(1 << 20):
+            *whole, rest = (rest + chunk).split(b"\0")
+            for f in whole:
+                yield f.decode("utf-8", "replace")
+    if run.returncode:
+        raise NotARepository(f"git {args[0]} failed in {repo}")
+
+
+class _Blobs:
+    """Contents by id from one ``cat-file --batch`` process."""
+
+    def __init__(self, repo: str) -> None:
+        self.repo, self.run = repo, None
+
+    def __enter__(self) -> _Blobs:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.run:
+            self.run.stdin.close()
+            self.run.stdout.close()
+            self.run.wait()
+
+    def read(self, blob: str) -> bytes | None:
+        if not self.run:
+            self.run = subprocess.Popen(["git", "-C", self.repo, "-c", "safe.directory=*", "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        self.run.stdin.write(blob.encode() + b"\n")
+        self.run.stdin.flush()
+        head = self.run.stdout.readline().split()
+        if len(head) < 3 or head[1] != b"blob":  # a submodule's commit is no blob of this repository
+            if len(head) == 3:
+                self.run.stdout.read(int(head[2]) + 1)
+            return None
+        content = self.run.stdout.read(int(head[2]))
+        self.run.stdout.read(1)
+        return content
+
+
 def _lines(repo: str, *args: str) -> list[str]:
     return _git(repo, *args).decode("utf-8", "replace").splitlines()
 
@@ -54,91 +100,127 @@ def _kind(full: str) -> str:
     return "branch" if full.startswith("refs/heads/") else "remote" if full.startswith("refs/remotes/") else "tag" if full.startswith("refs/tags/") else "note" if full.startswith("refs/notes/") else "other"
 
 
-def refs(repo: str) -> Iterator[tuple]:
-    for line in _lines(repo, "for-each-ref", "--format=%(refname)%00%(refname:short)"):
+#: Commits of a partition.
+RANGE = 2000
+
+
+@dataclass
+class Part(InputPartition):
+    """``skip`` and ``most`` cut the history of HEAD; most 0 is a table that is not cut."""
+
+    path: str
+    skip: int = 0
+    most: int = 0
+
+
+def _range(part: Part) -> list[str]:
+    return [f"--skip={part.skip}", f"--max-count={part.most}"]
+
+
+def refs(part: Part, columns: set[str]) -> Iterator[tuple]:
+    for line in _lines(part.path, "for-each-ref", "--format=%(refname)%00%(refname:short)"):
         full, short = line.split("\0")
-        yield short, full, _kind(full), repo
+        yield short, full, _kind(full), part.path
 
 
-def tags(repo: str) -> Iterator[tuple]:
-    for name in _lines(repo, "for-each-ref", "--format=%(refname:short)", "refs/tags"):
-        yield name, repo
+def tags(part: Part, columns: set[str]) -> Iterator[tuple]:
+    for name in _lines(part.path, "for-each-ref", "--format=%(refname:short)", "refs/tags"):
+        yield name, part.path
 
 
-def commits(repo: str) -> Iterator[tuple]:
-    if not _has_head(repo):
-        return
-    out = _git(repo, "log", "--format=%H%x00%s%x00%B%x00%an%x00%ae%x00%cn%x00%ce%x00%ct%x00%P%x01", "HEAD").decode("utf-8", "replace")
-    for record in out.split("\x01"):
-        f = record.lstrip("\n").split("\0")
-        if len(f) == 9:
-            yield f[0], f[1], f[2], f[3], f[4], f[5], f[6], _time(f[7]), len(f[8].split()), repo
+def commits(part: Part, columns: set[str]) -> Iterator[tuple]:
+    fields = _fields(part.path, "log", "-z", "--format=%H%x00%s%x00%B%x00%an%x00%ae%x00%cn%x00%ce%x00%ct%x00%P", *_range(part), "HEAD")
+    for f in zip(*[fields] * 9, strict=True):
+        yield *f[:7], _time(f[7]), len(f[8].split()), part.path
 
 
-def branches(repo: str) -> Iterator[tuple]:
+def branches(part: Part, columns: set[str]) -> Iterator[tuple]:
+    repo = part.path
     head = _lines(repo, "symbolic-ref", "-q", "HEAD")[:1] if _has_head(repo) else []
     for line in _lines(repo, "for-each-ref", "--format=%(refname)%00%(committerdate:unix)", "refs/heads", "refs/remotes"):
         full, when = line.split("\0")
-        count = int(_lines(repo, "rev-list", "--count", full)[0])
+        count = int(_lines(repo, "rev-list", "--count", full)[0]) if "commit_count" in columns else None
         yield full, count, [full] == head, full.startswith("refs/remotes/"), _time(when) if when else None, repo
 
 
-def _numbers(repo: str) -> Iterator[tuple[str, str, str, dt.datetime, bool, list]]:
-    """Each commit against its first parent: (id, name, address, date, has parent, changes)."""
-    if not _has_head(repo):
-        return
-    raw = _git(repo, "log", "--format=%x01%H%x02%an%x02%ae%x02%ct%x02%P%x02", "--diff-merges=first-parent", "--raw", "--numstat", "--no-abbrev", "-M", "HEAD")
-    for record in raw.decode("utf-8", "replace").split("\x01")[1:]:
-        head, _, body = record.rpartition("\x02")
-        f = head.split("\x02")
-        changes: dict[str, list] = {}
-        for line in body.splitlines():
-            if line.startswith(":"):
-                meta, *paths = line.split("\t")
-                bits = meta.split(" ")
-                changes[paths[-1]] = [paths[-1], bits[3], 0, 0, bits[4][0]]
-            elif line.count("\t") >= 2:
-                a, r, path = line.split("\t", 2)
-                if "=>" in path:
-                    path = next((p for p in changes if p and path.endswith(p.rsplit("/", 1)[-1]) or p in path), path)
-                if path in changes:
-                    changes[path][2:4] = [int(a) if a.isdigit() else 0, int(r) if r.isdigit() else 0]
-        yield f[0], f[1], f[2], _time(f[3]), bool(f[4].strip()), list(changes.values())
-
-
-def diffs(repo: str) -> Iterator[tuple]:
-    for commit, name, address, when, has_parent, changes in _numbers(repo):
-        rows = []
-        for path, blob, a, r, kind in changes if has_parent else []:
-            content = None if set(blob) == {"0"} else _git(repo, "cat-file", "blob", blob)
-            rows.append((path, content, a, r, kind))
-        yield commit, name, address, sum(c[2] for c in rows), sum(c[3] for c in rows), len(rows), rows, when, repo
-
-
-def diffs_changes(repo: str) -> Iterator[tuple]:
+_COUNTS = re.compile(r"(\d+|-)\t(\d+|-)\t(.*)", re.DOTALL)
+
+
+def _compared(part: Part, compare: bool) -> Iterator[tuple[str, str, str, dt.datetime, bool, list]]:
+    """Each commit against its first parent: (id, name, address, date, has parent, changes).
+
+    A change is [path, blob, insertions, removals, kind]; without ``compare`` there are none.
+    """
+    how = ["--diff-merges=first-parent", "--raw", "--numstat", "--no-abbrev", "-M", "-C"] if compare else ["-s"]
+    fields = _fields(part.path, "log", "-z", "--format=%H%x00%an%x00%ae%x00%ct%x00%P%x00", *how, *_range(part), "HEAD")
+    f = next(fields, None)
+    while f:
+        commit, name, address, when, parents = f, *(next(fields) for _ in range(4))
+        changes: list[list] = []
+        counted = 0
+        f = next(fields, None)
+        if f == "":  # ends the header
+            f = next(fields, None)
+        while f is not None:
+            f = f.removeprefix("\n")
+            if f.startswith(":"):
+                _, _, _, blob, kind = f.split(" ")
+                path = next(fields)
+                if kind[0] in "RC":  # the new path follows the old one
+                    path = next(fields)
+                changes.append([path, blob, 0, 0, kind[0]])
+            elif m := _COUNTS.fullmatch(f):
+                if not m[3]:
+                    next(fields), next(fields)
+                # Counts come in the order of the changes.
+                changes[counted][2:4] = [int(x) if x.isdigit() else 0 for x in (m[1], m[2])]
+                counted += 1
+            else:
+                break
+            f = next(fields, None)
+        yield commit, name, address, _time(when), bool(parents.strip()), changes
+
+
+def diffs(part: Part, columns: set[str]) -> Iterator[tuple]:
+    compare = bool(columns & {"insertions", "removals", "files_changed", "diff_changes"})
+    with _Blobs(part.path) as blobs:
+        for commit, name, address, when, has_parent, changes in _compared(part, compare):
+            changes = changes if has_parent else []
+            rows = None
+            if "diff_changes" in columns:
+                rows = [(path, None if set(blob) == {"0"} else blobs.read(blob), a, r, kind) for path, blob, a, r, kind in changes]
+            counts = (sum(c[2] for c in changes), sum(c[3] for c in changes), len(changes)) if compare else (None, None, None)
+            yield commit, name, address, *counts, rows, when, part.path
+
+
+def diffs_changes(part: Part, columns: set[str]) -> Iterator[tuple]:
     """One row per changed path; a first commit has none."""
-    for commit, _, _, _, has_parent, changes in _numbers(repo):
+    for commit, _, _, _, has_parent, changes in _compared(part, True):
         for path, _, a, r, kind in changes if has_parent else []:
-            yield commit, a, r, kind, path, repo
+            yield commit, a, r, kind, path, part.path
 
 
 READERS = {"refs": refs, "commits": commits, "branches": branches, "diffs": diffs, "diffs_changes": diffs_changes, "tags": tags}
-
-
-@dataclass
-class Repository(InputPartition):
-    path: str
+_OF_COMMITS = {"commits", "diffs", "diffs_changes"}
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, table: str, repos: list[str]) -> None:
-        self.table, self.repos = table, repos
+    def __init__(self, table: str, repos: list[str], columns: set[str]) -> None:
+        self.table, self.repos, self.columns = table, repos, columns
 
     def partitions(self):
-        return [Repository(r) for r in self.repos]
+        out = []
+        for r in self.repos:
+            if self.table not in _OF_COMMITS:
+                out.append(Part(r))
+            elif _has_head(r):
+                n = int(_lines(r, "rev-list", "--count", "HEAD")[0])
+                out += [Part(r, k, RANGE) for k in range(0, n, RANGE)]
+        return out or [Part("")]
 
     def read(self, partition):
-        yield from READERS[self.table](partition.path)
+        if partition.path:
+            yield from READERS[self.table](partition, self.columns)
 
 
 class GitSource(DataSource):
@@ -150,7 +232,9 @@ class GitSource(DataSource):
         return SCHEMAS[self.options["table"]]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["table"], [r for r in self.options["repos"].split(";") if r])
+        columns = self.options.get("columns")
+        wanted = set(schema.names) if columns is None else set(columns.split(";"))
+        return _Reader(self.options["table"], [r for r in self.options["repos"].split(";") if r], wanted)
 
 
 def register(session, repos: list[str]) -> None:
@@ -159,5 +243,10 @@ def register(session, repos: list[str]) -> None:
     for r in repos:
         _git(r, "rev-parse", "--git-dir")
     spark.dataSource.register(GitSource)
+
+    def reader(t: str, columns: set[str] | None = None):
+        read = spark.read.format("git").option("table", t).option("repos", ";".join(repos))
+        return (read if columns is None else read.option("columns", ";".join(sorted(columns)))).load()
+
     for t in SCHEMAS:
-        session.register_table(t, lambda t=t: spark.read.format("git").option("table", t).option("repos", ";".join(repos)).load())
+        session.register_table(t, functools.partial(reader, t))

@@ -86,3 +86,38 @@ def test_rejections(s):
     for q in ("SELECT AVG('x') AS y FROM t", "SELECT 1 + 'a'", "SELECT ~1.5", "SELECT RAND('a')"):
         with pytest.raises(Diagnostic):
             s.sql(q)
+
+
+def test_powers_are_exact(spark):
+    s = Session(spark).register_table("t", spark.createDataFrame([(a, b) for a, b in ((3, 39), (-7, 21), (-2, 63), (2, 62), (10, 18), (0, 0), (0, 5), (1, 900), (-1, 901), (-1, 900), (5, 0), (9007199254740993, 1), (None, 2))], "a bigint, b bigint"))
+    for r in s.query("SELECT a, b, a ^ b AS p FROM t").collect():
+        assert r.p == (None if r.a is None else r.a**r.b), r
+    for a, b in ((2, 63), (10, 19), (3, -1), (2, 64), (-3, 40), (4294967296, 2)):
+        with pytest.raises(Exception, match="power|exponent"):
+            Session(spark).register_table("t", spark.createDataFrame([(a, b)], "a bigint, b bigint")).query("SELECT a ^ b AS p FROM t").collect()
+
+
+def test_whole_table_windows_use_no_single_task(spark):
+    df = spark.range(1000).selectExpr("id % 7 AS k", "id AS v").repartition(8)
+    s = Session(spark).register_table("t", df)
+    got = s.query("SELECT v, row_number() OVER(ORDER BY v DESC) AS n, SUM(v) OVER() AS total, COUNT(v) OVER() AS rows FROM t")
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString().split("Scan ExistingRDD")[0].replace("Exchange SinglePartition, ENSURE_REQUIREMENTS", "", 2)
+    assert {(r.v, r.n, r.total, r.rows) for r in got.collect()} == {(v, 1000 - v, 499500, 1000) for v in range(1000)}
+
+
+def test_the_other_columns_of_a_group_are_of_one_row(spark):
+    rows = [(k % 3, (k * 7) % 10, f"t{(k * 7) % 10}") for k in range(10)]
+    want = None
+    for n in (1, 5):
+        s = Session(spark).register_table("t", spark.createDataFrame(rows, "g int, a int, b string").repartition(n))
+        got = sorted(tuple(r) for r in s.query("SELECT g, a, b, COUNT() AS n FROM t GROUP BY g").collect())
+        assert all(b == f"t{a}" for _, a, b, _ in got) and (want is None or got == want)
+        want = got
+    assert [r[1] for r in want] == [min(a for g, a, _ in rows if g == k) for k in range(3)]
+
+
+def test_membership_in_many_literals(spark):
+    s = Session(spark).register_table("t", spark.createDataFrame([("a",), ("b",), (None,)], "x string"))
+    assert [tuple(r) for r in s.query("SELECT x, x IN ('a', 'c') AS i, x NOT IN ('a', 'c') AS n, x IN ('a', NULL) AS z FROM t ORDER BY x NULLS LAST").collect()] == [("a", True, False, True), ("b", False, True, False), (None, False, True, True)]
+    plan = s.query("SELECT x FROM t WHERE x IN ('a', 'b', 'c', 'd')")._jdf.queryExecution().optimizedPlan().toString()
+    assert " IN (" in plan

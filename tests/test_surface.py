@@ -129,3 +129,45 @@ def test_entry_contract(spark):
     queries, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(queries)
     assert e.entry(spark).count() >= 0
+
+
+def test_git_paths_copies_and_pruning(spark, tmp_path, monkeypatch):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    run("config", "user.name", "Ann \x01\x02 Example")
+    run("config", "user.email", "ann@example.test")
+    text = "".join(f"line {k}\n" for k in range(30))
+    for d in ("x", "y", "z"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "\u00e9.txt").write_text(text)
+    (tmp_path / "x" / "n.txt").write_text(text.upper())
+    (tmp_path / "y" / "n.txt").write_text("other\n" * 20)
+    run("add", ".")
+    run("commit", "-qm", "first")
+    run("mv", "x/n.txt", "z/n.txt")
+    (tmp_path / "y" / "n.txt").write_text("other\n" * 19)
+    (tmp_path / "c\tp.txt").write_text(text)
+    (tmp_path / "\u00e9.txt").write_text(text + "more\nand more\n")
+    run("add", ".")
+    run("commit", "-qm", "second")
+    run("commit", "-q", "--allow-empty", "-m", "third")
+    s = Session(spark)
+    git.register(s, [str(tmp_path)])
+    rows = {tuple(r) for r in s.query("SELECT path, mode, insertions, removals FROM diffs_changes").collect()}
+    assert rows == {("\u00e9.txt", "M", 2, 0), ("c\tp.txt", "C", 0, 0), ("z/n.txt", "R", 0, 0), ("y/n.txt", "M", 0, 1)}
+    assert [r[0] for r in s.query("SELECT title FROM commits").collect()] == ["third", "second", "first"]
+    # Small ranges of commits give the same rows.
+    whole = sorted(map(str, s.query("SELECT * FROM diffs").collect()))
+    monkeypatch.setattr(git, "RANGE", 1)
+    reader = git._Reader("diffs", [str(tmp_path)], set(spark.createDataFrame([], git.SCHEMAS["diffs"]).columns))
+    parts = reader.partitions()
+    assert len(parts) == 3 and len([x for p in parts for x in reader.read(p)]) == len(whole) == 3
+    # No content is read, and nothing compared, for columns that need neither.
+    called = []
+    monkeypatch.setattr(git._Blobs, "read", lambda self, blob: called.append(blob))
+    few = list(git.diffs(git.Part(str(tmp_path), 0, 10), {"commit_id", "insertions"}))
+    assert not called and [r[3] for r in few] == [0, 2, 0] and all(r[6] is None for r in few)
+    assert [r[3] for r in git.diffs(git.Part(str(tmp_path), 0, 10), {"commit_id"})] == [None] * 3
+    seen = []
+    s.register_table("lazy", lambda columns=None: seen.append(columns) or spark.createDataFrame([(1, "a", 2.0)], "k int, t string, f double"))
+    assert [tuple(r) for r in s.query("SELECT k FROM lazy WHERE t = 'a'").collect()] == [(1,)] and seen[-1] == {"k", "t"}
