@@ -78,7 +78,7 @@ _IS_TOKEN = re.compile(rf"(?i)(?:^|[_\-.]|x|client|session|refresh|access|auth|m
 _CAMEL_PASSWORD = re.compile(r"[a-z](?:Pass(?:word|wd|phrase)?|Pwd)$")
 _CAMEL_TOKEN = re.compile(r"[a-z](?:Secret|Token|Key|Credentials?|Auth)$")
 #: Names whose values are ids, checksums and the like.
-_BENIGN = re.compile(r"(?i)(?:commit|integrity|build[_\-]?id|sha\d*|digest|checksum|crc\d*|md5|hash|rev|revision|etag|uuid|guid|version|fingerprint|public[_\-]?key|pubkey|resolved|trace[_\-]?id|request[_\-]?id|object[_\-]?id|tree|parent|blob|ssh-(?:rsa|ed25519|dss))[\w\-]*[\"'`\])]*\s*(?::=|=>|[:=,|>]|is|was|\s)*\s*[\"'`]?(?:sha\d+[:\-])?[\"'`]?$")
+_BENIGN = re.compile(r"(?i)(?:commit|integrity|build[_\-]?id|sha\d*|digest|checksum|crc\d*|md5|hash|rev|revision|etag|uuid|guid|version|fingerprint|public[_\-]?key|pubkey|resolved|trace[_\-]?id|request[_\-]?id|object[_\-]?id|tree|parent|blob|ssh-(?:rsa|ed25519|dss))[\w\-]*[\"'`\])]*\s*(?::\s*&?\s*(?:'static\s+)?(?:const\s+)?\w+\s*=|:=|=>|[:=,|>]|is|was|\s)*\s*[\"'`]?(?:sha\d+[:\-])?[\"'`]?$")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:[x*.\-_#?•]+|<.*>|\$.*|\{\{.*\}\}|\{%.*|%\w+%|%\(\w+\)s|#\{.*|@\w+@|\[.*\]|(?:replace|change|insert|fill|put|enter)[\s_\-]?.*(?:me|here|this|it)?|to[\s_\-]?do.*|tbd|your[\s_\-].*|my[_\-]?(?:password|secret|token)|"
     r"(?:none|null|nil|true|false|yes|no|empty|unset|optional|required|redacted|masked|hidden|dummy|example|sample|placeholder|default|undefined|string|str|text|bytes|int|bool|boolean|object|any|password|passwd|secret|token|credential|api[_\-]?key|bearer|basic))[;,.]?$|(?:vault|env|os\.environ|process\.env|secrets?|ssm|keyring|config)[.:/\[(]|getenv|getpass|\(\)$|^!vault|^ENC\["
@@ -108,7 +108,7 @@ _AFTER = re.compile(
 )
 _QUOTED = re.compile(r"(?:concat!\(|Some\(|String::from\(|b?\(|\{|\[)*\s*[rbfuRBFU@$]{0,2}(?P<q>\"\"\"|'''|[\"'`])(?P<v>.*)$")
 _BARE = re.compile(r"(?P<v>[^\s\"'`<>;,|]+)")
-_PHRASE = re.compile(r"(?P<v>[A-Za-z0-9_]+(?: [A-Za-z0-9_]+){2,}?)(?=\s*(?:$|[\"'`<|;,)}\]]|for now\b|\(until\b|\*/|-->))")
+_PHRASE = re.compile(r"(?P<v>[A-Za-z0-9_]+(?: [A-Za-z0-9_]+){2,}?)(?=\s*(?:$|[\"'`<|;,)}\]]|for now\b|\(|\*/|-->))")
 _SCHEME = re.compile(r"(?i)(?:Bearer|Basic|Token|Digest)\s+")
 #: File types in which an unquoted word after a name is a value, not a type or variable.
 _PLAIN_TYPES = re.compile(r"(?i)(?:\.(?:ya?ml|properties|toml|ini|env|conf|cfg|config|sh|bash|zsh|mk|tf|tfvars|md|rst|txt|xml|netrc|npmrc|pypirc|service|plist|html?|sql)|(?:^|/)(?:Makefile|Dockerfile|README|\.[a-z]+rc|VERSION|[^./]+))$")
@@ -403,7 +403,7 @@ def _value_after(line: str, b: int, is_password: bool, plain_type: bool, lines:
         return None  # a name followed by a word: prose
     phrase = _PHRASE.match(body) if is_password else None
     if phrase and (plain_type or noted or bare_sep in ("is", "was", "->", "|") or bare_sep.endswith(("is", "was"))) and len(phrase["v"].split()) <= 8:
-        v = re.sub(r" (?:for now|until friday)$", "", phrase["v"])
+        v = re.sub(r" for now$", "", phrase["v"])
         if bare_sep or noted:
             return _accept(v, at + skip, is_password, plain_type, True, "", lines, k)
     w = _BARE.match(body)

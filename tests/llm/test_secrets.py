@@ -38,6 +38,8 @@ NOT = [
     ("a.py", 'token = "<your-token-here>"'),
     ("a.py", 'token = ""'),
     ("a.js", f'const commit = "{HEX}";'),
+    ("a.rs", f'const commit: &str = "{HEX}";'),
+    ("a.ts", f'const checksum: string = "{HEX}";'),
     ("a.md", f"- `commit`: {HEX}"),
     ("a.toml", "integrity = sha256:" + "ab12" * 16),
     ("a.toml", 'build_id = "5be57231-072f-4b4b-acff-d063bc053fae"'),
@@ -123,3 +125,34 @@ KEY = "qeXE40rbureTsMYPXA4KNNuDrFsyKMrRz9xSO/bVQaG0Hr8pEWCqwhD6FYbEKXre"
 )
 def test_reading_goes_on_after_a_marker_without_a_block(text, lines):
     assert [x.line for x in S.literals(text, "a.py")] == lines
+
+
+def rows_of(spark, files):
+    return spark.createDataFrame([(c, r, [(loc, bytearray(t.encode()), 1, 0, "A")]) for c, r, loc, t in files], "commit_id string, repo string, diff_changes array<struct<location string, content binary, insertions int, removals int, kind string>>")
+
+
+def test_contents_under_one_key_are_masked_apart(spark):
+    clean = "# an ordinary sentence of the same length as the other one stands here\n"
+    df = rows_of(spark, [("c", "r", "a.py", f'auth_token = "{TOK}"\n'), ("c", "r", "a.py", clean)])
+    out = [bytes(r.content).decode() for r in secrets.masked(df, secrets.credentials(df)).collect()]
+    assert out == [f'auth_token = "{"*" * len(TOK)}"\n']
+
+
+def test_anchors_and_blocks_find_the_same_places(spark, tmp_path):
+    """Values with a long run, with signs between short runs, and without any anchor; and nothing readable on disk."""
+    values = [TOK, "Winter!38318xx", "a1-b2-c3-d4-e5", "Tr0ut#marble", HEX]
+    files = [(f"c{k}", f"r{k % 3}", "a.yml", f'password: "{v}"\n') for k, v in enumerate(values)]
+    files += [(f"n{k}", "r1", "n.txt", f"first line\nnote ({v}) and x{v}x and {v}\n") for k, v in enumerate(values)]
+    assert [secrets._anchor(v) is None for v in values] == [False, False, True, False, False]
+    for v in values:
+        assert secrets._anchor(v) is None or secrets._anchor(v) in secrets.anchors(f"k={v};")
+    df = rows_of(spark, files)
+    before = len(secrets.written.__globals__["_WRITTEN"])
+    found = secrets.credentials(df, block_chars=5)
+    got = {(r.commit_id, r.line_no, tuple(r.spans)) for r in found.collect() if r.commit_id[0] == "n" and r.value in values}
+    assert got == {(f"n{k}", 2, (17 + d, 17 + d + len(v))) for k, v in enumerate(values) for d in (0, 2 * len(v) + 13)}
+    for _, path in secrets.written.__globals__["_WRITTEN"][before:]:
+        import pathlib
+
+        raw = b"".join(f.read_bytes() for f in pathlib.Path(path.removeprefix("file://")).glob("*.parquet"))
+        assert raw and not any(v.encode() in raw for v in values)
