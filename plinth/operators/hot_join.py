@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def hot_keys(counts: DataFrame, keys: list[str], shares: int = 10_000, least: int = 100_000) -> DataFrame:
-    """Keys with more than ``1 / shares`` of all rows and more than ``least``; ``counts`` is ``keys, n``, one row a key."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") > max(least, total / shares)).select(*keys)
+def hot_keys(counts: DataFrame, keys: list[str], shares: int = 10_000, least: int = 100_000) -> DataFrame | None:
+    """Keys with more than ``1 / shares`` of all rows and more than ``least``; ``counts`` is ``keys, n``, one row a key.  None if there are none."""
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    bound = max(least, (total or 0) / shares)
+    return counts.where(F.col("n") > bound).select(*keys) if (most or 0) > bound else None
 
 
 def hot_join(large: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, salts: int = 64, shares: int = 10_000, least: int = 100_000) -> DataFrame:
@@ -28,7 +29,10 @@ def hot_join(large: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     """
     if counts is None:
         counts = large.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(hot_keys(counts, keys, shares, least).withColumn("__hot", F.lit(True)))
+    hot = hot_keys(counts, keys, shares, least)
+    if hot is None:
+        return large.join(small, keys, how)
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))
     rest = [c for c in large.columns if c not in keys]
     salt = F.pmod(F.xxhash64(*(F.col(c) for c in rest)) if rest else F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     spread = large.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(F.lit(0))).drop("__hot")
