@@ -3,9 +3,11 @@
 Method: template canonicalisation.  Words are brought to a plain form, then numbers, names and
 units become typed placeholders, and windows of canonical words (templates) are hash-joined between
 items and documents.  A template hit says only that the same sentence pattern occurs, perhaps with
-other parameters; the slot consistency check then lines up the fillings of all placeholders and all
-words along the hit's diagonal and accepts a run of at least ``least`` consecutive item words of
-which at most one in ``one_in`` differs.  Re-parameterised questions fail there.
+other parameters.  The slot consistency check lines up all words along the hit's diagonal: a run of at
+least ``least`` consecutive item words of which at most one in ``one_in`` differs, fillings included, is
+a leak.  Where only the templates agree so far, a slot table binds each filling of the item to the
+document's fillings in its places; if every filling has one binding and no two share one, the passage is
+the item re-parameterised, which is no leak of its words but is reported by ``templates``.
 
 Completeness: in a run of ``least`` = 25 words with at most 3 replaced, 22 words fall in at most 4
 unbroken stretches, so one stretch has 6 words or more; windows of 5 canonical words therefore miss
@@ -20,10 +22,9 @@ Stock words never count towards a run; a passage longer than its sentence is nev
 
 Scale: the items are a stated query set.  Their index is broadcast to the Python workers while it is
 below ``index_limit`` windows, else it is split into as many blocks as needed and the documents are
-scanned once per block.  Which sentences items share is counted over the whole item table; names are
-found within a block, for they only propose diagonals: by the bound above every run is also hit
-without placeholders, so the pairs do not depend on the block size.  One pass reads the texts; it writes candidates (as word ids) and the places
-of items' sentences to the shared folder; stock is decided over all blocks together and applied to the
+scanned once per block.  Which sentences items share and which words are names is counted over the whole
+item table, so nothing depends on the block size.  One pass reads the texts; it writes candidates (as word
+ids) and the places of items' sentences to the shared folder; stock is decided over all blocks together and applied to the
 candidates alone.  Of the documents nothing but the keys of stock sentences is ever collected, and the
 only shuffles carry places of sentences and (document, item) pairs.
 """
@@ -76,21 +77,16 @@ def sentences(text: str | None, tokens: list[str]) -> list[tuple[int, int, int]]
 class ItemIndex:
     """Items as word ids, their templates, and the words which never count.
 
-    Names are found from the items themselves: a word that shares its template slot (two words
-    before, one after) with ``min_fill`` other words is a parameter of the pattern.
+    ``names`` are words that are parameters of a pattern, see ``item_names``.
     """
 
-    def __init__(self, items: list[tuple[int, str]], min_fill: int = 4) -> None:
+    def __init__(self, items: list[tuple[int, str]], names: Iterable[str] = ()) -> None:
+        names = set(names)
         self.ids = [i for i, _ in items]
         tokens = [[fold(w) for w in words(t)] for _, t in items]
         vocab = sorted({w for ts in tokens for w in ts})
         self.vocab = {w: k for k, w in enumerate(vocab)}
         self.words = [np.array([self.vocab[w] for w in ts], dtype=np.int64) for ts in tokens]
-        slots: dict[tuple, set] = defaultdict(set)
-        for ts in tokens:
-            for j in range(2, len(ts) - 1):
-                slots[ts[j - 2], ts[j - 1], ts[j + 1]].add(ts[j])
-        names = {w for fill in slots.values() if len(fill) >= min_fill for w in fill}
         kinds = []
         for k, w in enumerate(vocab):
             kinds.append(-2 if w.isdigit() else -3 if w in UNITS else -4 if w in names else k)
@@ -141,8 +137,12 @@ class ItemIndex:
         k = min(NEAR, len(own) - at - size, len(ids) - j - size)
         return np.count_nonzero(own[at + size : at + size + k] == ids[j + size : j + size + k]) >= 2
 
+    def kinds(self, ids: np.ndarray) -> np.ndarray:
+        """Canonical words: the id, or the placeholder of a number, unit or name."""
+        return np.where(ids < -1, -2, self.kind[np.maximum(ids, -1)])
+
     def read(self, text: list[str]) -> np.ndarray:
-        """Word ids of a text's words, -1 for words of no item; foldings are remembered for recent words."""
+        """Word ids of a text's words, -1 for words and less for numbers of no item; foldings are remembered for recent words."""
         memo, vocab = self.memo, self.vocab
         if len(memo) > 500_000:
             memo.clear()
@@ -150,7 +150,11 @@ class ItemIndex:
         for w in text:
             k = memo.get(w)
             if k is None:
-                k = memo[w] = vocab.get(fold(w), -1)
+                plain = fold(w)
+                k = vocab.get(plain, -1)
+                if k < 0 and plain.isdigit():  # a number of no item: a filling of its own
+                    k = -2 - (_words_key([plain]) & 0x3FFFFFFF)
+                memo[w] = k
             out.append(k)
         return np.array(out, dtype=np.int64)
 
@@ -165,7 +169,7 @@ def windows(ids: np.ndarray, w: int = WINDOW) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(w):
             part = ids[k : k + n]
-            bad |= part == -1
+            bad |= part == -1  # canonical forms of numbers have their placeholder
             h = (h ^ (part + 1_000_003).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
     h[bad] = 0
@@ -213,27 +217,52 @@ def longest_run(hit: np.ndarray, counts: np.ndarray, one_in: int) -> int:
     return best
 
 
-def runs(index: ItemIndex, ids: np.ndarray, least: int, one_in: int) -> dict[int, int]:
-    """Longest accepted run by item: template hits give diagonals, the slots along them decide."""
-    diagonals = {(n, j - k) for j, h in _hits(windows(index.kind[ids]), index.template_mask, index.templates) for n, k in index.templates[h]}
-    best: dict[int, int] = {}
+def reparameterised(index: ItemIndex, item: np.ndarray, doc: np.ndarray) -> bool:
+    """The slot table of two aligned stretches: whether other fillings are bound one to one."""
+    kinds = index.kind[item]
+    bound: dict[tuple[int, int], int] = {}
+    taken: dict[tuple[int, int], int] = {}
+    other = 0
+    for kind, a, b in zip(kinds.tolist(), item.tolist(), doc.tolist(), strict=True):
+        if kind < -1 and b != -1:
+            if bound.setdefault((kind, a), b) != b or taken.setdefault((kind, b), a) != a:
+                return False
+            other += a != b
+    return other > 0
+
+
+def runs(index: ItemIndex, ids: np.ndarray, least: int, one_in: int, templates: bool = False) -> dict[int, tuple[int, bool]]:
+    """Longest accepted run by item, and whether it is one of words: template hits give diagonals, the slots along them decide.
+
+    Runs of templates alone are given only if asked for, and only where no run of words is.
+    """
+    canonical = index.kinds(ids)
+    diagonals = {(n, j - k) for j, h in _hits(windows(canonical), index.template_mask, index.templates) for n, k in index.templates[h]}
+    best: dict[int, tuple[int, bool]] = {}
+    need = least - least // one_in
     for n, d in diagonals:
         item = index.words[n]
         lo, hi = max(0, -d), min(len(item), len(ids) - d)
-        if hi - lo >= least:
-            hit = item[lo:hi] == ids[lo + d : hi + d]
-            if np.count_nonzero(hit) < least - least // one_in:
-                continue
-            got = longest_run(hit, ~index.never[n][lo:hi], one_in)
-            if got >= least:
-                best[n] = max(best.get(n, 0), got)
+        if hi - lo < least:
+            continue
+        item, doc, counts = item[lo:hi], ids[lo + d : hi + d], ~index.never[n][lo:hi]
+        hit = item == doc
+        got = longest_run(hit, counts, one_in) if np.count_nonzero(hit) >= need else 0
+        if got >= least:
+            best[n] = max(best.get(n, (0, False)), (got, True), key=lambda x: (x[1], x[0]))
+        elif templates and not best.get(n, (0, False))[1]:
+            kinds = index.kind[item]
+            same = (kinds == canonical[lo + d : hi + d]) | ((kinds == -4) & (doc == -1))
+            got = longest_run(same, counts, one_in) if np.count_nonzero(same) >= need else 0
+            if got >= least and reparameterised(index, item[same], doc[same]):
+                best[n] = max(best.get(n, (0, False)), (got, False))
     return best
 
 
 _FOUND = "doc bigint, ids binary, h bigint, at bigint, alone boolean, context bigint, family string"
 
 
-def _first_pass(index: ItemIndex, least: int, one_in: int):
+def _first_pass(index: ItemIndex, least: int, one_in: int, templates: bool):
     """Candidates with their word ids, and the places of the items' sentences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +274,7 @@ def _first_pass(index: ItemIndex, least: int, one_in: int):
                 if len(ids) < WINDOW:
                     continue
                 found += [(doc, None, h, at, alone, context, family) for h, at, alone, context in index.found_sentences(ids, ws)]
-                if len(ids) >= least and runs(index, ids, least, one_in):
+                if len(ids) >= least and runs(index, ids, least, one_in, templates):
                     found.append((doc, ids.astype(np.int32).tobytes(), None, None, None, None, None))
             columns = zip(*found, strict=True) if found else [()] * 7
             kinds = ("Int64", object, "Int64", "Int64", "boolean", "Int64", object)
@@ -255,6 +284,22 @@ def _first_pass(index: ItemIndex, least: int, one_in: int):
     return run
 
 
+def item_names(items: DataFrame, item_text: str, min_fill: int = 4) -> DataFrame:
+    """``word``: words that share a template slot (two words before, one after) with ``min_fill`` - 1 others or more, over all items."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = set()
+            for text in b["__text"]:
+                ts = [fold(w) for w in words(text)]
+                found.update((_words_key([ts[j - 2], ts[j - 1], ts[j + 1]]), ts[j]) for j in range(2, len(ts) - 1))
+            yield pd.DataFrame(sorted(found), columns=["slot", "word"])
+
+    each = items.select(F.col(item_text).alias("__text")).where(F.col("__text").isNotNull()).mapInPandas(run, "slot bigint, word string").distinct()
+    full = each.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_fill).select("slot")
+    return each.join(full, "slot", "left_semi").select("word").distinct()
+
+
 def _shared(items: DataFrame, item_text: str) -> DataFrame:
     """Keys ``h`` of the sentences that stand after, or before, different words in the items of all blocks."""
 
@@ -291,17 +336,20 @@ def _stock(firsts: list[DataFrame], shared: DataFrame, stock_contexts: int) -> l
     return [r["h"] for r in stock.select("h").collect()]
 
 
-def _second_pass(index: ItemIndex, least: int, one_in: int):
+def _second_pass(index: ItemIndex, least: int, one_in: int, templates: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(doc, index.ids[n], got) for doc, ids in zip(b["doc"].tolist(), b["ids"], strict=True) for n, got in runs(index, np.frombuffer(ids, np.int32).astype(np.int64), least, one_in).items()]
-            yield pd.DataFrame({"doc": [f[0] for f in found], "item_id": [f[1] for f in found], "run": [f[2] for f in found]}, dtype="int64")
+            found = [(doc, index.ids[n], *got) for doc, ids in zip(b["doc"].tolist(), b["ids"], strict=True) for n, got in runs(index, np.frombuffer(ids, np.int32).astype(np.int64), least, one_in, templates).items()]
+            yield pd.DataFrame(found, columns=["doc", "item_id", "run", "words"]).astype({"doc": "int64", "item_id": "int64", "run": "int64", "words": bool})
 
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 25, one_in: int = 8, stock_contexts: int = 3, family: str = "family_id", index_limit: int = 200_000) -> DataFrame:
-    """(document, item) pairs: ``ident, item_id, run`` with the longest run in words.
+def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 25, one_in: int = 8, stock_contexts: int = 3, family: str = "family_id", index_limit: int = 200_000, templates: bool = False) -> DataFrame:
+    """(document, item) pairs: ``ident, item_id, run, words`` with the longest run.
+
+    ``words`` is false where only the item's templates stand in the document, with other parameters; such
+    pairs are given if ``templates`` is set.
 
     * Null or empty texts on either side leak nothing; texts of any length are read whole.
     * Copies of a document or an item each give their own pairs; every pair is given once.
@@ -312,19 +360,28 @@ def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
     spark = documents.sparkSession
     members = F.col(family).cast("string") if family in documents.columns else F.lit(None).cast("string")
     narrow = spread(documents.select(F.col(ident).cast("bigint").alias("__id"), F.col(text).alias("__text"), members.alias("__family")).where(F.col("__text").isNotNull()))
+    names = written(item_names(items, item_text), "names")
     firsts = []
     for rows in _blocks(items, item, item_text, index_limit):
-        firsts.append(written(narrow.mapInPandas(_first_pass(ItemIndex(rows), least, one_in), _FOUND), "leaks"))
+        firsts.append(written(narrow.mapInPandas(_first_pass(_index_of(rows, names), least, one_in, templates), _FOUND), "leaks"))
     if not firsts:
-        return spark.createDataFrame([], f"{ident} bigint, item_id bigint, run bigint")
+        return spark.createDataFrame([], f"{ident} bigint, item_id bigint, run bigint, words boolean")
     stock = _stock(firsts, _shared(items, item_text), stock_contexts)
     parts = []
     for rows, first in zip(_blocks(items, item, item_text, index_limit), firsts, strict=True):
-        index = ItemIndex(rows)
+        index = _index_of(rows, names)
         index.add_stock(stock)
-        parts.append(first.where(F.col("ids").isNotNull()).select("doc", "ids").mapInPandas(_second_pass(index, least, one_in), "doc bigint, item_id bigint, run bigint"))
+        parts.append(first.where(F.col("ids").isNotNull()).select("doc", "ids").mapInPandas(_second_pass(index, least, one_in, templates), "doc bigint, item_id bigint, run bigint, words boolean"))
     out = functools.reduce(DataFrame.unionByName, parts)
-    return out.groupBy(F.col("doc").alias(ident), "item_id").agg(F.max("run").alias("run"))
+    best = out.groupBy(F.col("doc").alias(ident), "item_id").agg(F.max(F.struct("words", "run")).alias("best"))
+    return best.select(ident, "item_id", F.col("best.run").alias("run"), F.col("best.words").alias("words"))
+
+
+def _index_of(rows: list[tuple[int, str]], names: DataFrame) -> ItemIndex:
+    """The index of a block, with those of all names that stand in it."""
+    own = sorted({fold(w) for _, t in rows for w in words(t)})
+    held = names.sparkSession.createDataFrame([(w,) for w in own], "word string")
+    return ItemIndex(rows, [r["word"] for r in names.join(held, "word", "left_semi").collect()])
 
 
 def _blocks(items: DataFrame, item: str, item_text: str, limit: int) -> Iterator[list[tuple[int, str]]]:

@@ -70,6 +70,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
 
+def p7_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks and, with ``words`` false, documents that hold an item with other parameters."""
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), templates=True)
+
+
 def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mixed_documents(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), tokenizers.vocabulary(), tokenizers.pattern())
 
@@ -100,7 +105,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.repetition(table(spark, sf, "documents")).select("doc_id", F.round("share", 6).alias("share"), "stratum", "repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_members, p2_found, p2_redacted, p3_found, p3_masked, p4_found, p4_top_paths, p4_top_emails, p6_found, p6_labels, p7_found, p8_shares, p8_mix, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_members, p2_found, p2_redacted, p3_found, p3_masked, p4_found, p4_top_paths, p4_top_emails, p6_found, p6_labels, p7_found, p7_templates, p8_shares, p8_mix, p9_found, p9_shares)}
 
 SQL = {
     "p4_found": """
