@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
@@ -105,7 +105,7 @@ class ItemIndex:
             for j, h in enumerate(windows(self.kind[ids]).tolist()):
                 self.templates[h].append((n, j))
         self.start_mask, self.template_mask = _mask(self.starts), _mask(self.templates)
-        self.memo: dict[str, int] = {}
+        self.memo = _Memo(self.vocab)
 
     def add_stock(self, keys: Iterable[int]) -> None:
         """Marks the words of stock sentences; keys of other blocks are passed over."""
@@ -143,20 +143,25 @@ class ItemIndex:
 
     def read(self, text: list[str]) -> np.ndarray:
         """Word ids of a text's words, -1 for words and less for numbers of no item; foldings are remembered for recent words."""
-        memo, vocab = self.memo, self.vocab
-        if len(memo) > 500_000:
-            memo.clear()
-        out = []
-        for w in text:
-            k = memo.get(w)
-            if k is None:
-                plain = fold(w)
-                k = vocab.get(plain, -1)
-                if k < 0 and plain.isdigit():  # a number of no item: a filling of its own
-                    k = -2 - (_words_key([plain]) & 0x3FFFFFFF)
-                memo[w] = k
-            out.append(k)
-        return np.array(out, dtype=np.int64)
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+        return np.fromiter(map(self.memo.__getitem__, text), dtype=np.int64, count=len(text))
+
+
+class _Memo(dict):
+    """Ids of words seen, filled on demand."""
+
+    def __init__(self, vocab: dict[str, int]) -> None:
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, word: str) -> int:
+        plain = fold(word)
+        k = self.vocab.get(plain, -1)
+        if k < 0 and plain.isdigit():  # a number of no item: a filling of its own
+            k = -2 - (_words_key([plain]) & 0x3FFFFFFF)
+        self[word] = k
+        return k
 
 
 def windows(ids: np.ndarray, w: int = WINDOW) -> np.ndarray:
@@ -208,12 +213,9 @@ def longest_run(hit: np.ndarray, counts: np.ndarray, one_in: int) -> int:
         # Earliest start with a prefix sum not above the end's: prefix minima are monotone.
         starts = p[at]
         low = np.minimum.accumulate(starts)
-        for e in at[::-1]:
-            if e + 1 - at[0] <= best:
-                break
-            k = int(np.searchsorted(-low, -p[e + 1]))
-            if k < len(at) and at[k] <= e:
-                best = max(best, int(e + 1 - at[k]))
+        k = np.minimum(np.searchsorted(-low, -p[at + 1]), len(at) - 1)
+        sizes = np.where((at[k] <= at) & (starts[k] <= p[at + 1]), at + 1 - at[k], 0)
+        best = max(best, int(sizes.max()))
     return best
 
 
@@ -237,10 +239,14 @@ def runs(index: ItemIndex, ids: np.ndarray, least: int, one_in: int, templates:
     Runs of templates alone are given only if asked for, and only where no run of words is.
     """
     canonical = index.kinds(ids)
-    diagonals = {(n, j - k) for j, h in _hits(windows(canonical), index.template_mask, index.templates) for n, k in index.templates[h]}
+    diagonals = Counter((n, j - k) for j, h in _hits(windows(canonical), index.template_mask, index.templates) for n, k in index.templates[h])
     best: dict[int, tuple[int, bool]] = {}
     need = least - least // one_in
-    for n, d in diagonals:
+    # A run of words with its replaced ones has so many whole windows at least.
+    windows_least = 1 if templates else max(1, least - WINDOW * (least // one_in) - (WINDOW - 1))
+    for (n, d), hits in diagonals.items():
+        if hits < windows_least:
+            continue
         item = index.words[n]
         lo, hi = max(0, -d), min(len(item), len(ids) - d)
         if hi - lo < least:
