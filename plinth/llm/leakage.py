@@ -48,7 +48,7 @@ from plinth.operators.spreading import spread
 
 WINDOW = 5
 #: Unit words that stand after a number.
-UNITS = frozenset("mm cm m km kg g mg s ms h hz khz mhz percent degrees celsius hours minutes seconds cycles units pence coins grains cups drops turns moons teeth stones pins springs rings revolutions micrometres milliseconds newtons euros dollars".split())
+UNITS = frozenset("mm cm dm m km in ft yd mi mg g kg t lb oz ml l gal s ms h min hz khz mhz ghz w kw v mv a ma k c f pa kpa bar n j kj cal kcal mol percent degrees celsius kelvin fahrenheit seconds minutes hours days weeks months years metres meters kilometres kilometers centimetres millimetres grams kilograms litres liters pounds ounces inches feet miles volts amperes watts newtons joules pascals bytes bits euros dollars cents pence".split())
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 #: Words on either side that tell whether a sentence stands in its item's company.
 NEAR = 4
