@@ -677,6 +677,21 @@ class Lowering:
             df = groups.agg(*(outs or [F.count(F.lit(1)).alias("__n")]))
         return df, Scope(self, columns, aliases, given)
 
+    def _place_of_whole_table(self, df, scope, c, over):
+        """FIRST_VALUE, LAST_VALUE or NTH_VALUE over a whole ordered table: a top-k of one row, joined to all; None if it is not one of these."""
+        name, args = c[1], c[2]
+        if name in self.windows or (name, len(args)) not in (("first_value", 1), ("last_value", 1), ("nth_value", 2)):
+            return None
+        items = [_flipped(o) if name == "last_value" else o for o in over.order]
+        order = [(scope.lower(o.expr), o) for o in items]
+        by = [self._order(fi.to_seconds(x.col) if x.type == D.INTERVAL else x.col, o) for x, o in order if not x.constant]
+        value = scope.lower(args[0])
+        n = scope.lower(args[1]).value if name == "nth_value" else 1
+        if not by or not isinstance(n, int) or n < 1:
+            return None
+        one = df.orderBy(*by).select(value.col.alias("__v")).offset(n - 1).limit(1)
+        return one.agg(F.first("__v").alias("__v")), value.type
+
     def _windowed(self, q, df, scope, windowed):
         given = dict(scope.given)
         columns = dict(scope.columns)
@@ -699,6 +714,12 @@ class Lowering:
                 df = numbered(df, by, f"__w{k}")
                 given[sign] = Typed(F.col(f"__w{k}"), D.INT)
                 continue
+            placed = self._place_of_whole_table(df, scope, c, over) if over.partition is None else None
+            if placed is not None:
+                one, t = placed
+                df = df.crossJoin(F.broadcast(one.withColumnRenamed("__v", f"__w{k}")))
+                given[sign] = Typed(F.col(f"__w{k}"), t)
+                continue
             spec = Window.partitionBy(*([scope.lower(over.partition).col] if over.partition is not None else [F.lit(1)]))
             order = [(scope.lower(o.expr), o) for o in over.order]
             name = c[1]
@@ -726,6 +747,11 @@ class Lowering:
         return df, Scope(self, columns, scope.aliases, given)
 
 
+def _flipped(o):
+    """The opposite order, nulls included."""
+    return replace(o, descending=not o.descending, nulls_first=not o.nulls_first)
+
+
 def _of_least_row(base: dict[str, Typed], name: str) -> Column:
     """The column's value in the group's least row, by the values of all columns that have an order: it does not depend on the order of rows."""
     whole = [x.col for x in base.values() if x.type.name not in ("Interval", "Row", "Composite", "DiffChanges", "Null", "Range", "Array")]

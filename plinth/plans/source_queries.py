@@ -182,3 +182,4 @@ def _contents(spark: SparkSession, sf: str) -> DataFrame:
 _dialect("q66_powers", "lineitem", "SELECT l_orderkey, l_linenumber, l_linenumber ^ 20 AS p, (0 - l_linenumber) ^ 21 AS q FROM lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(list_reduce(list_transform(range(20), lambda i: CAST(l_linenumber AS HUGEINT)), lambda a, b: a * b) AS BIGINT) AS p, CAST(-list_reduce(list_transform(range(21), lambda i: CAST(l_linenumber AS HUGEINT)), lambda a, b: a * b) AS BIGINT) AS q FROM lineitem")
 _dialect("q67_arrays_by_row", "orders lineitem", "SELECT l_orderkey, l_linenumber, [l_partkey, l_suppkey, l_linenumber] @> l_linenumber AS c, [l_partkey, l_suppkey] || [l_orderkey, l_linenumber] AS ov, l_partkey = ANY [l_suppkey, l_orderkey] AS an, l_quantity >= ALL [10.0, 20.0] AS al, [l_partkey, l_suppkey, l_orderkey][2:3] AS s FROM lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, list_contains([l_partkey, l_suppkey, l_linenumber], l_linenumber) AS c, list_has_any([l_partkey, l_suppkey], [l_orderkey, l_linenumber]) AS ov, l_partkey IN (l_suppkey, l_orderkey) AS an, l_quantity >= 20 AS al, ([l_partkey, l_suppkey, l_orderkey]::BIGINT[])[2:3] AS s FROM lineitem")
 _dialect("q68_ranges_by_row", "lineitem", "SELECT l_orderkey, l_linenumber, int4range(l_linenumber, l_suppkey) @> 5 AS c, int4range(0, l_linenumber) && int4range(l_suppkey, 100) AS ov, isempty(int4range(l_linenumber, 3)) AS e, daterange('1995-01-01', '1996-01-01') @> date(l_shipdate) AS d FROM lineitem WHERE l_linenumber <= l_suppkey AND l_linenumber <= 3 AND l_suppkey <= 100", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 5 >= l_linenumber AND 5 < l_suppkey AS c, l_suppkey < l_linenumber AND l_suppkey < 100 AS ov, l_linenumber = 3 AS e, CAST(l_shipdate AS DATE) >= DATE '1995-01-01' AND CAST(l_shipdate AS DATE) < DATE '1996-01-01' AS d FROM lineitem WHERE l_linenumber <= l_suppkey AND l_linenumber <= 3 AND l_suppkey <= 100")
+_dialect("q69_places_of_the_whole_table", "orders", "SELECT o_orderkey, first_value(o_orderkey) OVER(ORDER BY o_totalprice DESC, o_orderkey) AS f, last_value(o_orderkey) OVER(ORDER BY o_totalprice DESC, o_orderkey) AS l, nth_value(o_orderkey, 5) OVER(ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 5) OVER w AS n FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")

@@ -105,6 +105,13 @@ def test_whole_table_windows_use_no_single_task(spark):
     assert {(r.v, r.n, r.total, r.rows) for r in got.collect()} == {(v, 1000 - v, 499500, 1000) for v in range(1000)}
 
 
+def test_places_of_a_whole_ordered_table(spark):
+    rows = [(k, None if k == 5 else f"t{k}") for k in range(9)]
+    s = Session(spark).register_table("t", spark.createDataFrame(rows, "a int, b string").repartition(4))
+    got = s.query("SELECT a, first_value(b) OVER(ORDER BY a DESC) AS f, last_value(b) OVER(ORDER BY a DESC) AS l, nth_value(a, 3) OVER(ORDER BY b NULLS FIRST) AS n, nth_value(a, 30) OVER(ORDER BY a) AS o, last_value(a) OVER(ORDER BY b ASC NULLS FIRST) AS z FROM t")
+    assert sorted(tuple(r) for r in got.collect()) == [(k, "t8", "t0", 1, None, 8) for k in range(9)]
+
+
 def test_the_other_columns_of_a_group_are_of_one_row(spark):
     rows = [(k % 3, (k * 7) % 10, f"t{(k * 7) % 10}") for k in range(10)]
     want = None
