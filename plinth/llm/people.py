@@ -186,18 +186,25 @@ def given_names(narrow: DataFrame, least: int = 5, shares: int = 20_000, ratio:
     return [r["token"] for r in often.select("token").collect()]
 
 
-def learned_forms(named: DataFrame, families: int = 3, most: int = 8) -> DataFrame:
+def learned_forms(named: DataFrame, families: int = 3, block: int = 1_000) -> DataFrame:
     """``given, full``: given names that stand for the same person under ``families`` family names or more, the shorter one first.
 
-    They share an address and a family name.  An address with more than ``most`` given names under a family
-    name teaches nothing (its identities are linked as all others are).
+    They share an address and a family name; every pair of given names of an address and a family name counts,
+    however many there are.  A group of more than ``block`` of them is cut, and each pair of blocks has a join key of its own.
     """
     uses = named.where(F.col("email").isNotNull()).select("email", "family", "given").distinct()
-    several = uses.groupBy("email", "family").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select("email", "family")
-    uses = uses.join(several, ["email", "family"])
-    both = uses.join(uses.withColumnRenamed("given", "full"), ["email", "family"])
     # Of equal length or one letter apart is a misspelling, not a short form.
-    both = both.where(F.length("given") + 2 <= F.length("full"))
+    groups = uses.groupBy("email", "family").agg(F.min(F.length("given")).alias("least"), F.max(F.length("given")).alias("most"))
+    uses = uses.join(groups.where(F.col("least") + 2 <= F.col("most")).select("email", "family"), ["email", "family"])
+    # A given name that is there under fewer families can be in no pair that has enough of them.
+    often = uses.groupBy("given").agg(F.count_distinct("family").alias("n")).where(F.col("n") >= families).select("given")
+    uses = written(uses.join(often, "given"), "uses")
+    sizes = uses.groupBy("email", "family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = uses.join(sizes, ["email", "family"]).withColumn("home", F.pmod(F.xxhash64("given"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    shorter = placed.select("email", "family", "given", F.col("home").alias("i"), each.alias("j"))
+    longer = placed.select("email", "family", F.col("given").alias("full"), each.alias("i"), F.col("home").alias("j"))
+    both = shorter.join(longer, ["email", "family", "i", "j"]).where(F.length("given") + 2 <= F.length("full"))
     return both.groupBy("given", "full").agg(F.count_distinct("family").alias("n")).where(F.col("n") >= families).select("given", "full")
 
 

@@ -97,6 +97,32 @@ def test_given_names_and_short_forms_are_learned(spark):
     assert [50, 51, 52] in groups and [60, 61] in groups and all([k, k + 6] in groups for k in range(6))
 
 
+def test_short_forms_of_addresses_with_many_given_names(spark):
+    """Every pair of given names of an address and a family name counts, however many there are."""
+    rng = random.Random(3)
+    given = made(rng, 60)
+    rows = [("zib", f, f"all@{f}.example") for f in ("corvand", "delmuth", "ostrava")] + [("zorbelina", f, f"all@{f}.example") for f in ("corvand", "delmuth", "ostrava")]
+    rows += [(f"{f[:3]}{'x' * k}", f, f"all@{f}.example") for f in ("corvand", "delmuth", "ostrava") for k in range(9)]  # nine others, under one family each
+    rows += [(g, f, f"m{k}@{f}.example") for f in ("peltram", "quenby", "rastow", "sunder") for k, n in enumerate((2, 9, 40)) for g in rng.sample(given, n)]
+    rows += [("zib", "quenby", None), ("zorbelo", "quenby", None)]
+    groups = {}
+    for g, f, m in rows:
+        if m:
+            groups.setdefault((f, m), set()).add(g)
+    under = {}
+    for (f, _), gs in groups.items():
+        for a in gs:
+            for b in gs:
+                if len(a) + 2 <= len(b):
+                    under.setdefault((a, b), set()).add(f)
+    want = {p for p, fs in under.items() if len(fs) >= 3}
+    df = spark.createDataFrame(rows, "given string, family string, email string")
+    assert ("zib", "zorbelina") in want and len(want) > 50
+    assert {tuple(r) for r in people.learned_forms(df).collect()} == want
+    for block in (1, 7):
+        assert {tuple(r) for r in people.learned_forms(df, block=block).collect()} == want
+
+
 def test_a_family_with_very_many_names(spark):
     """Work grows with the names, not with their pairs: short forms join on beginnings, shards are cut on both sides."""
     import time
